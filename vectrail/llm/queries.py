@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrail.llm import mixing, sharding
+from vectrail.llm import langid, mixing, packing, sharding, simhash
 from vectrail.session import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(sharding.N_SHARDS)]
@@ -21,10 +21,25 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
+        "op6_langid": op6_langid,
+        "op8_packing": op8_packing,
+        "op9_simhash": op9_simhash,
     }
 
 
