@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrail.llm import fingerprints, langid, mixing, packing, secret_scan, sharding, simhash
+from vectrail.llm import fingerprints, langid, mixing, packing, quality, secret_scan, sharding, simhash
 from vectrail.session import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(sharding.N_SHARDS)]
@@ -33,6 +33,12 @@ def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_quality(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "quality"
+    )
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -48,6 +54,7 @@ def queries() -> dict:
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
         "op6_langid": op6_langid,
+        "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
     }
