@@ -14,7 +14,7 @@ shuffle, holds one group in memory, and a task that is run again repeats its wor
 
 from __future__ import annotations
 
-import re
+import base64
 import zlib
 from collections.abc import Iterator
 
@@ -26,8 +26,6 @@ from pyspark.sql import DataFrame
 MAX_TOKENS = 1024
 GROUP_SIZE = 2048
 LINEAR, QUADRATIC = 1.0, 1.0 / 1024
-#: Words whose ids are kept; beyond it the table is emptied.
-CACHE_WORDS = 600_000
 #: The id that ends every document.
 END_ID = 0
 
@@ -36,45 +34,28 @@ SCHEMA = (
     "sequence_id long, offset long"
 )
 _ARROW_SCHEMA = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
-#: A space that does not begin a word; elsewhere the tokenizer always cuts before a space.
-_LOOSE_SPACE = re.compile(r" (?:\s|\Z)")
 
 
-class WordTokenizer:
-    """Ids of whole texts, with the ids of words seen before kept in a table.
+class ByteTokenizer:
+    """Ids of the byte-level BPE vocabulary in a file of ranks.
 
-    The byte-level tokenizer always cuts before a space that a word follows, so a
-    text is the sequence of its words, each with the space before it. Texts with
-    other spaces (doubled, at a line's or the text's end) are encoded whole.
+    The pattern cuts a text as the vocabulary's own does, without backtracking.
+    Strings of special tokens in a text are ordinary text. Ids are those that the
+    ``tokenizers`` library gives for the same vocabulary, at about a third of the time.
     """
 
+    PATTERN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.model = Tokenizer.from_file(path)
-        self.model.encode_special_tokens = True
-        self.table: dict[str, bytes] = {}
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.model.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        loose = [i for i, t in enumerate(texts) if _LOOSE_SPACE.search(t)]
-        out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(loose, self._encode([texts[i] for i in loose]), strict=True):
-            out[i] = ids
-        whole = set(loose)
-        split = {i: t.split(" ") for i, t in enumerate(texts) if i not in whole}
-        if len(self.table) > CACHE_WORDS:
-            self.table.clear()
-        unseen = list({w for words in split.values() for w in words[1:]}.difference(self.table))
-        self.table.update(zip(unseen, self._encode([" " + w for w in unseen]), strict=True))
-        heads = self._encode([words[0] for words in split.values()])
-        for (i, words), head in zip(split.items(), heads, strict=True):
-            out[i] = head + b"".join(map(self.table.__getitem__, words[1:]))
-        return out
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+        self.model = tiktoken.Encoding("bytes", pat_str=self.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+    def encode(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids of a whole text."""
+        return self.model.encode_to_numpy(text).astype("<u4", copy=False).tobytes()
 
 
 def pack_lengths(lengths: list[int], capacity: int = MAX_TOKENS) -> tuple[list[tuple[int, int, int, int, int]], int]:
@@ -103,7 +84,7 @@ def pack_lengths(lengths: list[int], capacity: int = MAX_TOKENS) -> tuple[list[t
 
 
 def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, group_size: int) -> Iterator[pa.RecordBatch]:
-    tokenizer = WordTokenizer(path)
+    tokenizer = ByteTokenizer(path)
     sequence = TaskContext.get().partitionId() << 36
     rest: list[tuple] = []  # (doc_id, start, ids, doc_tokens)
     rows: list[tuple] = []
@@ -127,9 +108,8 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, group_siz
         ids_of, texts_of = batch.column(0), batch.column(1)
         for begin in range(0, len(batch), 256):
             doc_ids = ids_of.slice(begin, 256).to_pylist()
-            texts = [t or "" for t in texts_of.slice(begin, 256).to_pylist()]
-            for doc_id, ids in zip(doc_ids, tokenizer.encode(texts), strict=True):
-                ids += END_ID.to_bytes(4, "little")
+            for doc_id, text in zip(doc_ids, texts_of.slice(begin, 256).to_pylist(), strict=True):
+                ids = tokenizer.encode(text or "") + END_ID.to_bytes(4, "little")
                 tokens = len(ids) // 4
                 full = tokens - tokens % capacity
                 for start in range(0, full, capacity):
@@ -150,7 +130,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, capacity: int, group_siz
 def default_tokenizer() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
 def pack(docs: DataFrame, tokenizer: str | None = None, capacity: int = MAX_TOKENS, group_size: int = GROUP_SIZE) -> DataFrame:
