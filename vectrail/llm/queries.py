@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrail.llm import fingerprints, langid, mixing, packing, quality, secret_scan, sharding, simhash
+from vectrail.llm import fingerprints, langid, mixing, packing, pii, quality, secret_scan, sharding, simhash
 from vectrail.session import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(sharding.N_SHARDS)]
@@ -14,6 +14,10 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.digest(secret_scan.scan(table(spark, sf_dir, "documents")))
 
 
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_personal_data(table(spark, sf_dir, "documents")))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -50,6 +54,7 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
+        "op2_pii": op2_pii,
         "op3_fingerprints": op3_fingerprints,
         "op4_sharding": op4_sharding,
         "op5_mixing": op5_mixing,
