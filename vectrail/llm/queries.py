@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from vectrail.llm import fingerprints, langid, mixing, packing, pii, quality, secret_scan, sharding, simhash
+from vectrail.llm import fingerprints, langid, mixing, packing, pii, quality, secret_scan, sharding, simhash, toxicity
 from vectrail.session import table
 
 SHARDS = [f"shard-{i:02d}" for i in range(sharding.N_SHARDS)]
@@ -51,6 +51,10 @@ def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -62,6 +66,7 @@ def queries() -> dict:
         "op7_quality": op7_quality,
         "op8_packing": op8_packing,
         "op9_simhash": op9_simhash,
+        "op10_toxicity": op10_toxicity,
     }
 
 
