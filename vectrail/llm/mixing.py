@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.text import words
+from vectrail.llm.text import WORD, words
 from vectrail.session import checkpointed
 
 WEIGHTS = (5, 2, 1)
@@ -58,8 +58,10 @@ def water_levels(totals: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCH
     )
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
-    """One row a document: doc_id, source, size, source_size, target, whole, extra, taken.
+def mix_plan(
+    docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row a document: doc_id, source, size, source_size, target, whole, extra, taken, and the ``carry`` columns.
 
     ``whole`` is the number of whole repetitions, ``extra`` the words of a further
     one, ``taken`` = whole * size + extra. Null and empty texts have size 0 and
@@ -75,6 +77,7 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, see
             _source_key(F.col("source")).alias("source_key"),
             F.size(words(F.col("text"))).cast("long").alias("size"),
             key.alias("order_key"),
+            *carry,
         ).withColumn("bucket", F.substring("order_key", 1, BUCKET_DIGITS))
     )
     buckets = rows.groupBy("source_key", "bucket").agg(F.sum("size").alias("bucket_size"))
@@ -103,5 +106,47 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, see
         .join(starts, ["source_key", "bucket"])
         .withColumn("extra", extra)
         .withColumn("taken", F.col("whole") * F.col("size") + F.col("extra"))
-        .select("doc_id", "source", "size", "source_size", "target", "whole", "extra", "taken")
+        .select("doc_id", "source", "size", "source_size", "target", "whole", "extra", "taken", *carry)
     )
+
+
+def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
+    """The mix itself: each document as many times as its plan has it, columns as they were.
+
+    A document on a source's boundary gives its first words once; ``n_chars``
+    follows. Documents of size 0 give nothing. Rows equal in id, source and text
+    are interchangeable: their repetitions are summed and come from one of them.
+    """
+    names = docs.columns
+    body = F.coalesce(F.col("text"), F.lit(""))
+    # 128 bits that name a row's id, source and text
+    keys = {
+        "row_key_1": F.xxhash64("doc_id", "source", body),
+        "row_key_2": F.xxhash64(body, "source", "doc_id", F.lit("row")),
+    }
+    keyed = docs.withColumns(keys)
+    partial = (F.col("extra") > 0) & (F.col("extra") < F.col("size"))
+    plan = (
+        mix_plan(keyed, weights, max_epochs, seed, tuple(keys))
+        .groupBy(*keys)
+        .agg(
+            F.sum(F.col("whole") + ((F.col("extra") == F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
+            F.coalesce(F.max(F.when(partial, F.col("extra"))), F.lit(0)).alias("first_words"),
+        )
+        .where((F.col("copies") > 0) | (F.col("first_words") > 0))
+    )
+    cut = F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int"))
+    cut = F.concat(cut, F.when(F.col("first_words") > 0, F.array("first_words")).otherwise(F.array().cast("array<bigint>")))
+    space = r"[\x20\x09-\x0D]"
+    pattern = F.concat(F.lit(f"^(?:{space}*+{WORD}+){{"), F.col("__cut").cast("string"), F.lit("}+"))
+    first = F.call_function("regexp_extract", F.col("text"), pattern, F.lit(0))
+    mixed = (
+        keyed.dropDuplicates(list(keys))
+        .join(plan, list(keys))
+        .withColumn("__cut", F.explode(cut))
+        .withColumn("text", F.when(F.col("__cut") > 0, first).otherwise(F.col("text")))
+    )
+    if "n_chars" in names:
+        kind = docs.schema["n_chars"].dataType
+        mixed = mixed.withColumn("n_chars", F.when(F.col("__cut") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
+    return mixed.select(*names)
