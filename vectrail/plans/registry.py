@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 FLAGSHIP = "grounded_passages"
-MODULES: tuple = ()
+from vectrail.plans import table_queries, text_queries, vector_queries
+
+MODULES: tuple = (vector_queries, text_queries, table_queries)
 
 
 def queries() -> dict:
