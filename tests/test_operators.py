@@ -1,0 +1,153 @@
+"""Edge cases of functions and operators."""
+
+import pytest
+from pyspark.sql import functions as F
+
+from vectrail.functions import text as X
+from vectrail.functions import vectors as V
+from vectrail.operators import backends, jobs, ranking, spans, tables
+from vectrail.sources import readers
+
+
+def one(spark, column, **values):
+    """The value of an expression over one row."""
+    df = spark.range(1).select(*(F.expr(v).alias(k) for k, v in values.items())) if values else spark.range(1)
+    return df.select(column.alias("x")).first()["x"]
+
+
+def test_cosine_policies(spark):
+    a, z = F.array(F.lit(1.0), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0))
+    short = F.array(F.lit(1.0))
+    assert one(spark, V.cosine(a, a)) == 1.0
+    assert one(spark, V.cosine(a, z)) == 0.0
+    assert one(spark, V.cosine(a, short)) == 1.0
+    assert one(spark, V.cosine(a, short, length="zero")) == 0.0
+    for bad in (V.cosine(a, short, length="strict"), V.cosine(a, z, zero="raise")):
+        with pytest.raises(Exception, match="vector"):
+            one(spark, bad)
+
+
+def test_empty_multivectors(spark):
+    none = F.array().cast("array<array<double>>")
+    some = F.array(F.array(F.lit(1.0), F.lit(2.0)))
+    assert one(spark, V.maxsim(some, none)) == float("-inf")
+    assert one(spark, V.maxsim(some, none, empty="0")) == 0.0
+    assert one(spark, V.maxsim(some, some)) == 5.0
+    with pytest.raises(Exception, match="multivector"):
+        one(spark, V.maxsim(none, some, empty="raise"))
+
+
+def test_quantisation_edges(spark):
+    zero = F.array(F.lit(0.0), F.lit(0.0))
+    assert one(spark, V.quantize_int8(zero)) == [0, 0]
+    assert one(spark, V.quantize_uint8(zero)) == [0, 0]
+    assert one(spark, V.quantize_uint8(zero, constant=128)) == [128, 128]
+    assert one(spark, V.quantize_int8(F.array(F.lit(1.0), F.lit(-0.5), F.lit(2.5 / 127)))) == [127, -64, 2]
+    assert one(spark, V.packed_binary(F.array(*(F.lit(x) for x in (1.0, -1.0, 2.0))))) == "A0"
+
+
+def test_windows_stop_at_the_end(spark):
+    cut = lambda t: [(w["start"], w["text"]) for w in one(spark, X.char_windows(F.lit(t), 4, 1))]
+    assert cut("abcdefg") == [(0, "abcd"), (3, "defg")]
+    assert cut("abc") == [(0, "abc")]
+    assert cut("   ") == []
+    with pytest.raises(ValueError):
+        X.char_windows(F.lit("x"), 4, 4)
+
+
+def test_text_edges(spark):
+    assert one(spark, X.token_estimate(F.lit(""))) == 0
+    assert one(spark, X.token_estimate(F.lit("ab"))) == 1
+    assert one(spark, X.mask_secret(F.lit("abc"))) == "***"
+    assert one(spark, X.without_thinking(F.lit("a<think>b</think>c<think>d"))) == "ac"
+    assert one(spark, X.strip_fence(F.lit("```sql\nSELECT 1;\n```"))) == "SELECT 1"
+    assert one(spark, X.clock_minutes(F.lit("at 12:05 AM"))) == 5
+    assert one(spark, X.clock_minutes(F.lit("noon"))) is None
+    assert one(spark, X.first_number(F.lit("1,234.5 and 6"))) == 1234.5
+    assert one(spark, X.subtitle_time(F.lit(3661.5))) == "01:01:01,500"
+    with pytest.raises(Exception, match="bad time"):
+        one(spark, X.subtitle_time(F.lit(-1.0)))
+
+
+def test_redaction_prefers_the_better_span_and_shares_numbers(spark):
+    row = spark.createDataFrame(
+        [("call bob or ann or bob", [(5, 8, "name", "bob", 0.9), (5, 12, "name", "bob or ", 0.4), (12, 15, "name", "ann", 0.8), (19, 22, "name", "bob", 0.7), (0, 4, "verb", "call", 0.1)])],
+        f"text string, spans {spans.SPAN}",
+    )
+    out = row.select(spans.redact(F.col("text"), spans.select_spans(F.col("spans"))).alias("r")).first()["r"]
+    assert out == "call [NAME_1] or [NAME_2] or [NAME_1]"
+
+
+def test_paragraphs_pack_and_cut(spark):
+    packed = one(spark, spans.pack_paragraphs(F.lit("aa\n\nbb\n\n  \n\ncccccccc"), 6))
+    assert packed == ["aa\n\nbb", "cccccc", "cc"]
+
+
+def test_greedy_interval_match_is_one_to_one(spark):
+    schema = "doc long, id long, start double, end double"
+    pred = spark.createDataFrame([(1, 1, 0.0, 4.0), (1, 2, 1.0, 6.0), (2, 3, 0.0, 1.0)], schema)
+    gold = spark.createDataFrame([(1, 10, 0.0, 5.0), (1, 11, 5.0, 9.0)], schema)
+    got = spans.greedy_interval_match(pred, gold, ["doc"]).collect()
+    assert {(r["pred_id"], r["gold_id"]) for r in got} == {(1, 10), (2, 11)}
+
+
+def test_upsert_and_field_map(spark):
+    a = spark.createDataFrame([(1, "x"), (2, "y")], "id long, v string")
+    b = spark.createDataFrame([(2, "z"), (3, "w")], "id long, v string")
+    assert sorted(map(tuple, tables.upsert(a, b, ["id"]).collect())) == [(1, "x"), (2, "z"), (3, "w")]
+    assert tables.project_fields(a, {"id_field": "id", "input_field": "v"}).columns == ["id", "text"]
+    with pytest.raises(ValueError):
+        tables.project_fields(a, {"input_field": "v", "more": 1})
+
+
+def test_jobs(spark, tmp_path):
+    assert jobs.connection_name("s3://bucket/key?x") == "bucket"
+    for bad in ("s3:///key", "plain"):
+        with pytest.raises(ValueError):
+            jobs.connection_name(bad)
+    assert jobs.schema_policy("postgres", "a", "b") == ("a", "b")
+    for args in (("postgres", "a", None), ("mysql", "a", "b"), ("postgres", "a b", "c")):
+        with pytest.raises(ValueError):
+            jobs.schema_policy(*args)
+    spark.createDataFrame([("1", "hello world"), ("2", None)], "id string, text string").write.parquet(f"{tmp_path}/in")
+    spec = jobs.JobSpec(f"{tmp_path}/in", "encode", sink="inplace", execution="run")
+    assert spec.run(spark).count() == 2
+    assert jobs.JobSpec(["a b"], "extract", options={"patterns": {"w": "[a-z]"}}).run(spark).first()["entities"]
+    with pytest.raises(ValueError):
+        jobs.JobSpec(["a"], "encode", execution="run").run(spark)
+    with pytest.raises(ValueError):
+        readers.inline_items(spark, [])
+
+
+def test_sources(spark, tmp_path):
+    assert one(spark, readers.document_format(F.lit("a/b.PDF"))) == "pdf"
+    assert one(spark, readers.document_format(F.lit("a/b"))) is None
+    assert one(spark, readers.content_kind(F.lit(b"%PDF-1.7"))) == "pdf"
+    (tmp_path / "l.txt").write_text("# c\n\na : b : c\n")
+    assert [tuple(r) for r in readers.delimited_lookup(spark, str(tmp_path / "l.txt")).collect()] == [("a", "b : c")]
+    (tmp_path / "j.json").write_text('{"a": 1}\n{"a": \n')
+    good, bad = readers.permissive_json(spark, str(tmp_path / "j.json"), "a int")
+    assert (good.count(), bad.count()) == (1, 1)
+    df = spark.createDataFrame([(1, 1, "x"), (1, 2, "y")], "k int, o int, v string")
+    assert readers.last_by_key(df, ["k"], "o").first()["v"] == "y"
+
+
+def test_generate_and_model_errors_stay_in_their_rows(spark):
+    items = spark.createDataFrame([("a", "x"), ("b", None)], "id string, text string")
+    assert {r["output"] for r in backends.generate(items, "say {text}").collect()} == {"say x", "say "}
+
+    def build():
+        def model(batch):
+            if (batch["id"] == "b").any():
+                raise ValueError("bad row")
+            return batch.assign(n=1.0, error=None)
+
+        return model
+
+    got = {r["id"]: r["error"] for r in backends.with_model(items.coalesce(1), build, "id string, text string, n double, error string").collect()}
+    assert got == {"a": None, "b": "bad row"}
+
+
+def test_many_queries_are_joined_in_blocks(spark):
+    a, b = spark.range(4).toDF("q"), spark.range(5).toDF("r")
+    assert ranking.against(a, b).count() == ranking.against(a, b, most=2).count() == 20
