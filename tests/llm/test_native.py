@@ -1,0 +1,203 @@
+"""Secrets, personal data, fingerprints, mixing and quality against plain Python."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+
+from tests.llm.fixtures import documents, empty, rows
+from vectrail.llm import fingerprints, mixing, pii, quality, secret_scan, trigrams
+from vectrail.llm.weak_supervision import fit
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def sha(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def secrets_of(t):
+    t = t or ""
+    assign = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+    found = [(m.start(), 0, "assign", m.end()) for m in assign.finditer(t) if len(m[2]) >= 6]
+    found += [(m.start(), 1, "access", m.end()) for m in re.finditer("AKIA[A-Z0-9]+", t) if len(m[0]) >= 20]
+    found += [(m.start(), 2, "hex", m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24]
+    return ",".join(f"{k}:{a}:{b}" for a, _, k, b in sorted(found))
+
+
+def test_secrets(spark):
+    got = secret_scan.digest(secret_scan.scan(documents(spark))).collect()
+    assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == Counter((i, sha(secrets_of(t))) for i, t, *_ in rows())
+    more = next(r for r in got if r["doc_id"] == 111)
+    assert "forge_token" in more["spans"] and (more["n_assign"], more["n_hex"]) == (1, 2)
+    assert secret_scan.scan(empty(spark)).count() == 0
+
+
+def test_secrets_replaced(spark):
+    docs = documents(spark)
+    clean = secret_scan.without_secrets(docs)
+    assert clean.columns == docs.columns and clean.count() == docs.count()
+    left = secret_scan.digest(secret_scan.scan(clean)).selectExpr("sum(n_assign + n_access + n_hex) AS n").first()["n"]
+    assert left == 0
+    same = {r["text"] for r in clean.collect()}
+    assert {t for _, t, *_ in rows() if not secrets_of(t) and "ghp_" not in (t or "")} <= same
+
+
+@pytest.mark.parametrize(
+    "pattern, text", [("abc(d|ef)+g?h", "abcefdh"), ("(?i:api_?key)=x", "APIKEY=x"), ("gh[op]_[a-z]{3,}", "gho_abc"), ("x*abcd", "abcd")]
+)
+def test_trigram_queries_are_met_by_matches(pattern, text):
+    assert re.search(pattern, text)
+    found = trigrams.clauses(trigrams.trigram_query(pattern))
+    assert any(all(t in text.lower() for t in c) for c in found)
+
+
+def test_patterns_without_trigrams_scan_fully():
+    assert trigrams.clauses(trigrams.trigram_query("[0-9a-f]{24,}")) is None
+    assert trigrams.clauses(trigrams.trigram_query("(ab|cdef)")) is None
+
+
+PII = [
+    ("email", re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")),
+    ("ip", re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")),
+    ("card", re.compile(r"[0-9]([\x20-]?[0-9])+")),
+    ("phone", re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")),
+]
+
+
+def passes(kind, m):
+    digits = re.sub("[^0-9]", "", m)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in m.split("."))
+    if kind == "card":
+        total = sum((v := int(c) * (1 + i % 2)) - 9 * (v > 9) for i, c in enumerate(reversed(digits)))
+        return 16 <= len(digits) <= 19 and total % 10 == 0
+    return kind != "phone" or 8 <= len(digits) <= 15
+
+
+def personal(t):
+    return ",".join(f"{k}:{m.start()}:{m.end()}" for k, x in PII for m in x.finditer(t or "") if passes(k, m[0]))
+
+
+def test_personal_data(spark):
+    got = pii.digest(pii.find_personal_data(documents(spark))).collect()
+    assert Counter((r["doc_id"], r["base_sha256"]) for r in got) == Counter((i, sha(personal(t))) for i, t, *_ in rows())
+    assert all(personal(t) in r["spans"] for i, t, *_ in rows() for r in got if r["doc_id"] == i and i in (108, 109))
+    assert pii.find_personal_data(empty(spark)).count() == 0
+
+
+def test_classifier_follows_its_targets():
+    w = pii.fit_logistic([(["bias", "a"], 0.9, 50), (["bias"], 0.1, 50)])
+    assert w["bias"] < -1.5 and w["bias"] + w["a"] > 1.5
+
+
+def jaccard(a, b):
+    a, b = (Counter(WORD.findall(x.lower())) for x in (a, b))
+    whole = sum((a | b).values())
+    return sum((a & b).values()) / whole if whole else 1.0
+
+
+def expected_pairs():
+    order = sorted([(i is None, -(i or 0), (t or "").encode(), t or "") for i, t, *_ in rows()])
+    for k, (none, neg, _, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][3]
+        h = len(t) // 2
+        yield (None if none else -neg, len(t), sha(edit := t[: len(t) - h] + after[:h])), jaccard(t, edit), jaccard(t, after)
+
+
+def test_fingerprints(spark):
+    want = list(expected_pairs())
+    got = fingerprints.fingerprint_pairs(documents(spark), run_rows=9, samples=64).collect()
+    key = lambda r: (r["doc_id"], r["n_chars"], r["edited_sha256"])
+    assert Counter(map(key, got)) == Counter(w[0] for w in want)
+    near = {w[0]: w[1:] for w in want}
+    off = [(r["near_edited"] - near[key(r)][0], r["near_next"] - near[key(r)][1]) for r in got]
+    for side in zip(*off, strict=True):
+        assert abs(sum(side) / len(side)) < 0.04 and max(map(abs, side)) < 0.35
+    by_id = {}
+    for r in got:
+        by_id.setdefault(r["doc_id"], r["fingerprint"])
+    assert by_id[104] == by_id[105] == by_id[106] != by_id[107] and by_id[101] == by_id[102] == ""
+    assert fingerprints.fingerprint_pairs(empty(spark)).count() == 0
+
+
+def test_one_document_follows_itself(spark):
+    r = fingerprints.fingerprint_pairs(documents(spark, [(1, "a b c d", None, None)])).first()
+    assert (r["near_next"], r["edited_sha256"]) == (1.0, sha("a b a b"))
+
+
+def water(sizes, weights):
+    target, open_, left = dict.fromkeys(sizes, 0.0), set(sizes), float(sum(sizes.values()))
+    while open_:
+        share = left / sum(weights[s] for s in open_)
+        full = {s for s in open_ if share * weights[s] >= 3 * sizes[s]}
+        if not full:
+            return target | {s: share * weights[s] for s in open_}
+        target |= {s: 3.0 * sizes[s] for s in full}
+        left -= sum(3.0 * sizes[s] for s in full)
+        open_ -= full
+    return target
+
+
+def test_mixing(spark):
+    got = mixing.mix_plan(documents(spark)).collect()
+    sizes = Counter()
+    for _, t, _, s in rows():
+        sizes[s] += len(WORD.findall(t or ""))
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    want = water(sizes, {s: (5, 2, 1)[k % 3] for k, s in enumerate(order)})
+    taken = Counter()
+    for r in got:
+        assert r["target"] == pytest.approx(want[r["source"]]) and 0 <= r["taken"] <= 3 * r["size"]
+        taken[r["source"]] += r["taken"]
+    assert all(abs(taken[s] - want[s]) <= 0.5 + 1e-9 for s in sizes) and len(got) == len(rows())
+    again = mixing.mix_plan(documents(spark).repartition(5)).collect()
+    assert Counter(map(tuple, again)) == Counter(map(tuple, got))
+    assert mixing.mix_plan(empty(spark)).count() == 0
+
+
+def test_mixed_documents_hold_the_words_taken(spark):
+    docs = documents(spark)
+    want, got = Counter(), Counter()
+    for r in mixing.mix_plan(docs).collect():
+        want[r["source"]] += r["taken"]
+    mixed = mixing.mix_documents(docs)
+    for r in mixed.collect():
+        got[r["source"]] += len(WORD.findall(r["text"] or ""))
+    assert mixed.columns == docs.columns and +want == +got
+
+
+def stats(t):
+    t = t or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    grams = [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    seen = Counter(grams)
+    covered = {i + k for i, g in enumerate(grams) if seen[g] > 1 for k in range(5)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(covered)
+
+
+def test_quality(spark):
+    got = quality.score_quality(documents(spark)).collect()
+    names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    assert Counter((r["doc_id"], *(r[n] for n in names)) for r in got) == Counter((i, *stats(t)) for i, t, *_ in rows())
+    for r in got:
+        failed = r["n_words"] < 10 or 100 * r["n_repeat_words"] > 20 * r["n_words"]
+        assert r["base_failed"] == failed and not (failed and r["kept"])
+    assert quality.score_quality(empty(spark)).count() == 0
+
+
+def test_quality_agrees_with_labels(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").selectExpr("doc_id", "quality AS good")
+    got = quality.score_quality(docs).join(labels, "doc_id").where("NOT base_failed").selectExpr("avg(int(kept = (good = 1))) AS x").first()
+    assert got["x"] > 0.95
+
+
+def test_em_finds_the_better_rule():
+    # b agrees with a and c; d votes at random
+    counts = [((1, 1, 1, 1), 40), ((1, 1, 1, 0), 40), ((0, 0, 0, 1), 10), ((0, 0, 0, 0), 10), ((0, 1, 1, 1), 3)]
+    model = fit(counts, ["a", "b", "c", "d"], 0.7)
+    assert model.log_odds["b"][1] > model.log_odds["d"][1] and model.posterior({"a": 0, "b": 0, "c": 0, "d": 1}) < 0.1
+    assert fit([], ["a"], 0.7).posterior({"a": -1}) == pytest.approx(0.7)
