@@ -243,16 +243,25 @@ def train_chain(texts: list[str], labels: np.ndarray, rounds: int = 80, rate: fl
 
 
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
-    """(text, toxic) of labelled documents that are not held out: of each label the first by a hash, up to the bounds."""
-    labelled = (
-        docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
-        .join(labels.where(F.col("toxic").isNotNull()).select("doc_id", "toxic"), "doc_id")
-        .select("toxic", F.substring("text", 1, SAMPLE_CHARS).alias("text"), F.xxhash64("doc_id", F.lit(10)).alias("place"))
-    )
+    """(text, toxic) of labelled documents that are not held out: of each label the first by a hash, up to the bounds.
+
+    A share of each label that holds about twice its bound is drawn by the hash
+    before texts are joined, so no more than that is ever gathered.
+    """
+    place = F.pmod(F.xxhash64("doc_id", F.lit(10)), F.lit(1 << 40)) / float(1 << 40)
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.select("doc_id", "toxic", place.alias("place"))
+    counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    bound = {1: SAMPLE_TOXIC, 0: SAMPLE_CLEAN}
+    share = {y: min(1.0, 2 * bound[y] / counts[y]) for y in bound if counts.get(y)}
+    if not share:
+        return []
+    drawn = known.where(F.col("place") < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    found = texts.join(F.broadcast(drawn), "doc_id").select("toxic", "place", "text").collect()
     rows = []
-    for toxic, most in ((1, SAMPLE_TOXIC), (0, SAMPLE_CLEAN)):
-        first = labelled.where((F.col("toxic") == 1) == bool(toxic)).orderBy("place", "text").limit(most)
-        rows += [(r["place"], r["text"], toxic) for r in first.collect()]
+    for y, most in bound.items():
+        rows += sorted((r["place"], r["text"], y) for r in found if r["toxic"] == y)[:most]
     return [(text, toxic) for _, text, toxic in sorted(rows)]
 
 
