@@ -46,41 +46,55 @@ def test_sharding(spark):
     assert sharding.assign_shards(empty(spark), "doc_id", ["a"]).count() == 0
 
 
-def test_code_lengths_are_those_of_the_context_tree():
-    sample = [("x", b"abracadabra abra"), ("y", b"banana bandana")]
-    model = langid.CodeLengths(sample, order=2, symbols=12)
+def learned(spark, sample, **sizes):
+    """The model of a table of (lang, text), in two partitions."""
+    ids = [i for i in range(50) if zlib.crc32(str(i).encode()) % 5]
+    found = [(i, text.decode(), lang) for i, (lang, text) in zip(ids, sample, strict=False)]
+    return langid.train(spark.createDataFrame(found, "doc_id long, text string, lang string").repartition(2), **sizes)
+
+
+def test_code_lengths_are_those_of_the_context_tree(spark):
+    sample = [("x", b"abracadabra abra"), ("y", b"banana bandana"), ("x", b"cadabra"), ("y", b""), ("x", b"Z\xc3\xa9")]
+    model = learned(spark, sample, order=2, symbols=12)
+    symbol, symbols = model.coder.symbol, model.coder.symbols
 
     def slow(lang, text):
         counts = defaultdict(Counter)
         for known, s in sample:
             if known == lang:
-                s = b"\n\n" + s
+                s = b"\n\n" + s.lower()
                 for i in range(2, len(s)):
                     for k in range(3):
-                        counts[tuple(model.symbol[b] for b in s[i - k : i])][model.symbol[s[i]]] += 1
+                        counts[tuple(symbol[b] for b in s[i - k : i])][symbol[s[i]]] += 1
 
         def p(context, b):
             seen = counts[context]
             n, d = sum(seen.values()), len(seen)
             if n and seen[b]:
                 return seen[b] / (n + d)
-            lower = p(context[1:], b) if context else 1 / model.symbols
+            lower = p(context[1:], b) if context else 1 / symbols
             return lower * d / (n + d) if n else lower
 
         s = b"\n\n" + text
-        return -sum(np.log2(p(tuple(model.symbol[b] for b in s[i - 2 : i]), model.symbol[s[i]])) for i in range(2, len(s)))
+        return -sum(np.log2(p(tuple(symbol[b] for b in s[i - 2 : i]), symbol[s[i]])) for i in range(2, len(s)))
 
     for text in (b"abra", b"bananas", b"zzz", b"a"):
         assert model.bits([text])[0] == pytest.approx([slow("x", text), slow("y", text)], rel=1e-4)
 
 
-def test_long_texts_are_scored_in_blocks(monkeypatch):
-    model = langid.CodeLengths([("x", b"abracadabra"), ("y", b"banana")], order=3, symbols=8)
+def test_long_texts_are_scored_and_counted_in_blocks(spark, monkeypatch):
+    model = learned(spark, [("x", b"abracadabra"), ("y", b"banana")], order=3, symbols=8)
     text = b"abra banana cad" * 50
     whole = model.bits([text, b"", b"ban"])
     monkeypatch.setattr(langid, "BLOCK", 64)
     assert model.bits([text, b"", b"ban"]) == pytest.approx(whole, rel=1e-5)
 
+    def counts(most):
+        parts = [codes for _, _, codes in model.coder.blocks([text, b"", b"ban"], most)]
+        return np.bincount(np.concatenate(parts), minlength=model.coder.size + 1)[:-1]
+
+    assert (counts(64) == counts(1 << 20)).all() and counts(64).sum() == len(text) + 3
+
 
 def test_language_accuracy_on_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
