@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 CHAIN = 64
 #: Lengths of word beginnings that are features.
 STEMS = (4, 5, 6, 7, 8)
-#: The training sample: documents of each label at most, characters of each.
-SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 8000
+#: The training sample: so many documents of each label at most, whole, of up to so many characters.
+SAMPLE_TOXIC, SAMPLE_CLEAN, SAMPLE_CHARS = 1500, 3000, 40_000
 #: A word is tagged by a feature that is so many times likelier in toxic documents, with
 #: so large a log-likelihood ratio (30: found in seven, all toxic, where a tenth is).
 LEAST_LIFT, LEAST_RATIO = 4.0, 30.0
@@ -245,6 +245,9 @@ def train_chain(texts: list[str], labels: np.ndarray, rounds: int = 80, rate: fl
 def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """(text, toxic) of labelled documents that are not held out: of each label the first by a hash, up to the bounds.
 
+    Sampled texts are whole; documents of over ``SAMPLE_CHARS`` characters are not
+    in the sample (they are scored, like all others, over their whole texts).
+
     A share of each label that holds about twice its bound is drawn by the hash
     before texts are joined, so no more than that is ever gathered.
     """
@@ -257,7 +260,7 @@ def training_sample(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]
     if not share:
         return []
     drawn = known.where(F.col("place") < F.when(F.col("toxic") == 1, share.get(1, 0.0)).otherwise(share.get(0, 0.0)))
-    texts = docs.where(F.col("text").isNotNull()).select("doc_id", F.substring("text", 1, SAMPLE_CHARS).alias("text"))
+    texts = docs.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text")
     found = texts.join(F.broadcast(drawn), "doc_id").select("toxic", "place", "text").collect()
     rows = []
     for y, most in bound.items():
