@@ -151,3 +151,52 @@ def test_generate_and_model_errors_stay_in_their_rows(spark):
 def test_many_queries_are_joined_in_blocks(spark):
     a, b = spark.range(4).toDF("q"), spark.range(5).toDF("r")
     assert ranking.against(a, b).count() == ranking.against(a, b, most=2).count() == 20
+
+
+def test_json_pointers():
+    from vectrail.plans.record_queries import json_pointer
+
+    with pytest.raises(ValueError):
+        json_pointer(F.lit("{}"), "a")
+
+
+def test_json_pointers_find_nested_places(spark):
+    from vectrail.plans.record_queries import json_object_from_text, json_pointer
+
+    doc = F.lit('{"a": [{"b/c": 1}, {"x": "y"}]}')
+    row = spark.range(1).select(
+        json_pointer(doc, "/a/0/b~1c").alias("slash"), json_pointer(doc, "/a/1/x").alias("x"), json_pointer(doc, "/a/9").alias("none"),
+        json_object_from_text(F.lit('so: ```{"k": {"j": 2}}``` end')).alias("whole"), json_object_from_text(F.lit("{broken} no")).alias("broken"),
+        json_object_from_text(F.lit("none")).alias("without"),
+    ).first()
+    assert (row["slash"], row["x"], row["none"]) == ("1", "y", None)
+    assert (row["whole"], row["broken"], row["without"]) == ('{"k": {"j": 2}}', None, None)
+
+
+def test_float32_base64_round_trip(spark, sf_dir):
+    import base64
+    import struct
+
+    from vectrail.plans.record_queries import base64_vectors
+
+    want = {r["vec_id"]: r["embedding"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got = base64_vectors(spark, sf_dir).collect()
+    assert len(got) == len(want)
+    for r in got:
+        v = want[r["vec_id"]]
+        assert base64.b64decode(r["encoded"]) == struct.pack(f"<{len(v)}f", *v)
+
+
+def test_html_unescaped(spark):
+    from vectrail.plans.record_queries import html_unescaped
+
+    rows = spark.createDataFrame([("A &amp; B\n &lt;i&gt;",), ("",), (None,), ("STRASSE &szlig;",)], "t string")
+    assert [r[0] for r in rows.coalesce(1).select(html_unescaped(F.col("t"))).collect()] == ["a & b <i>", "", None, "strasse ss"]
+
+
+def test_segments_end_at_sentences_and_after_their_span(spark):
+    from vectrail.plans.record_queries import segments
+
+    docs = spark.createDataFrame([(1, "a b. c d e"), (2, " ".join("x" * 130)), (3, None), (4, " ")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["segment"], r["start"], r["end"], r["n_words"]) for r in segments(docs).collect())
+    assert got == [(1, 0, 0.0, 1.0, 2), (1, 1, 1.0, 2.5, 3), (2, 0, 0.0, 30.0, 60), (2, 1, 30.0, 60.0, 60), (2, 2, 60.0, 65.0, 10)]

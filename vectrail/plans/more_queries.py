@@ -39,7 +39,7 @@ def geometry_guard(s, d):
 
 def privileged_terms(s, d):
     e = table(s, d, "events").withColumn("score", F.col("value") % 1)
-    hit = e.where((F.col("score") >= 0.5) & F.col("event_type").isin("purchase", "login"))
+    hit = e.where((F.col("score") >= 0.5) & F.col("event_type").isin("purchase", "signup"))
     return hit.groupBy("user_id").agg(F.array_join(F.sort_array(F.collect_set(F.upper("event_type"))), ",").alias("terms"))
 
 
@@ -52,14 +52,14 @@ def safety_verdict(s, d):
 def score_lookup(s, d):
     """Candidates joined to rerank scores by id; those without a score go, unless none has one (then the dense order stands)."""
     hits = VQ.knn_cosine(s, d)
-    scores = table(s, d, "embeddings").where("vec_id % 3 = 0").select("vec_id", (F.col("label") / 10.0).alias("rerank"))
+    scores = table(s, d, "embeddings").where("label >= 4").select("vec_id", (F.col("label") / 10.0).alias("rerank"))
     joined = hits.join(scores, "vec_id", "left").withColumn("found", F.max(F.col("rerank").isNotNull()).over(Window.partitionBy("query_id")))
     kept = joined.where(F.col("rerank").isNotNull() | ~F.col("found"))
     top = R.top_k(kept, ["query_id"], [F.desc_nulls_last("rerank"), F.asc("rank")], 3, "place")
     return top.select("query_id", "vec_id", L(F.col("place")).alias("place"), F.coalesce("rerank", "score").alias("score"))
 
 
-LOOKUP_SQL = f"""WITH h AS ({COS_SQL}), j AS (SELECT h.*, CASE WHEN vec_id % 3 = 0 THEN label / 10.0::DOUBLE END AS rerank FROM h JOIN embeddings USING (vec_id)),
+LOOKUP_SQL = f"""WITH h AS ({COS_SQL}), j AS (SELECT h.*, CASE WHEN label >= 4 THEN label / 10.0::DOUBLE END AS rerank FROM h JOIN embeddings USING (vec_id)),
 f AS (SELECT *, max(CASE WHEN rerank IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY query_id) AS found FROM j),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rerank DESC NULLS LAST, rank) AS n FROM f WHERE rerank IS NOT NULL OR found = 0)
 SELECT query_id, vec_id, n - 1 AS place, coalesce(rerank, score) AS score FROM r WHERE n <= 3"""
@@ -68,12 +68,12 @@ SELECT query_id, vec_id, n - 1 AS place, coalesce(rerank, score) AS score FROM r
 def rank_merge(s, d):
     """Cosine hits left-joined to rerank scores (missing: 0), by score, then cosine rank."""
     hits = VQ.knn_cosine(s, d).select("query_id", "vec_id", F.col("rank").alias("cosine_rank"))
-    scores = table(s, d, "embeddings").where("vec_id % 2 = 0").select("vec_id", (F.col("label") * 0.1).alias("score"))
+    scores = table(s, d, "embeddings").where("label < 5").select("vec_id", (F.col("label") * 0.1).alias("score"))
     j = hits.join(scores, "vec_id", "left").withColumn("score", F.round(F.coalesce("score", F.lit(0.0)), 6))
     return R.top_k(j, ["query_id"], [F.desc("score"), F.asc("cosine_rank")], 5).select("query_id", "vec_id", "cosine_rank", "score", L(F.col("rank")).alias("rank"))
 
 
-MERGE_SQL = f"""WITH h AS ({COS_SQL}), j AS (SELECT query_id, vec_id, rank AS cosine_rank, round(CASE WHEN vec_id % 2 = 0 THEN label * 0.1::DOUBLE ELSE 0 END, 6) AS score FROM h JOIN embeddings USING (vec_id))
+MERGE_SQL = f"""WITH h AS ({COS_SQL}), j AS (SELECT query_id, vec_id, rank AS cosine_rank, round(CASE WHEN label < 5 THEN label * 0.1::DOUBLE ELSE 0 END, 6) AS score FROM h JOIN embeddings USING (vec_id))
 SELECT query_id, vec_id, cosine_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cosine_rank) - 1 AS rank FROM j"""
 
 
@@ -93,7 +93,7 @@ SELECT doc_id, min(pos) AS first, max(pos) AS last FROM t WHERE e - length(w) <
 def relation_rows(s, d):
     """Relations between nations and regions, kept if both ends are known, scored by the weaker end."""
     n = table(s, d, "nation").select(F.col("n_name").alias("head"), (F.col("n_nationkey") / 25.0).alias("hs"), F.col("n_regionkey").alias("k"))
-    r = table(s, d, "region").where("r_regionkey < 3").select(F.col("r_name").alias("tail"), F.col("r_regionkey").alias("k"), F.lit(0.5).alias("ts"))
+    r = table(s, d, "region").where("r_name IN ('AFRICA', 'AMERICA', 'ASIA')").select(F.col("r_name").alias("tail"), F.col("r_regionkey").alias("k"), F.lit(0.5).alias("ts"))
     j = n.join(r, "k").select("head", "tail", "k", F.round(F.least("hs", "ts"), 6).alias("score"))
     w = Window.partitionBy("tail").orderBy(F.desc("score"), "head")
     return j.withColumn("rank", L(F.row_number().over(w) - 1))
@@ -210,15 +210,15 @@ def quad_boxes(s, d):
 
 def entity_markdown(s, d):
     """Entities of a conversation as a table in markdown, and as a page."""
-    c = table(s, d, "conversations").select("conv_id", "turn", "role", F.left("text", F.lit(12)).alias("t"))
+    c = table(s, d, "conversations").select("conv_id", "turn", "role", F.col("text").alias("t"))
     rows = F.sort_array(F.collect_list(F.struct("turn", "role", "t")))
     lines = F.transform(rows, lambda r: F.concat(F.lit("| "), r["role"], F.lit(" | "), F.replace(r["t"], F.lit("\n"), F.lit(" ")), F.lit(" |")))
     head = F.lit("| label | text |\n| --- | --- |\n")
     return c.groupBy("conv_id").agg(F.md5(F.concat(head, F.array_join(lines, "\n"))).alias("markdown"), F.md5(F.array_join(F.transform(rows, lambda r: r["t"]), "\n\n")).alias("page"))
 
 
-MARKDOWN_SQL = """SELECT conv_id, md5('| label | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || role || ' | ' || replace(left(text, 12), chr(10), ' ') || ' |', chr(10) ORDER BY turn)) AS markdown,
- md5(string_agg(left(text, 12), chr(10) || chr(10) ORDER BY turn)) AS page FROM conversations GROUP BY 1"""
+MARKDOWN_SQL = """SELECT conv_id, md5('| label | text |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || role || ' | ' || replace(text, chr(10), ' ') || ' |', chr(10) ORDER BY turn)) AS markdown,
+ md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS page FROM conversations GROUP BY 1"""
 
 
 def reading_order(s, d):
@@ -237,20 +237,20 @@ def hash_floats(s, d):
 
 def base64_capped(s, d):
     """Short texts through base64 and back, refused beyond a size."""
-    b = F.base64(F.encode(F.left("text", F.lit(20)), "utf-8"))
+    b = F.base64(F.encode("text", "utf-8"))
     b = F.regexp_replace(b, r"\s", "")
-    return table(s, d, "documents").select("doc_id", L(F.length(b)).alias("n"), F.coalesce(F.when(F.length(b) <= 32, F.decode(F.unbase64(b), "utf-8")), F.lit("")).alias("back"))
+    return table(s, d, "documents").select("doc_id", L(F.length(b)).alias("n"), F.coalesce(F.when(F.length(b) <= 4096, F.decode(F.unbase64(b), "utf-8")), F.lit("")).alias("back"))
 
 
 def subtitles(s, d):
     """Turns as numbered cues, one document a conversation."""
     c = table(s, d, "conversations")
-    cue = F.concat(F.col("turn").cast("string"), F.lit("\n"), X.subtitle_time(F.col("turn") * 1.5), F.lit(" --> "), X.subtitle_time(F.col("turn") * 1.5 + 1.25), F.lit("\n"), F.left("text", F.lit(10)))
+    cue = F.concat(F.col("turn").cast("string"), F.lit("\n"), X.subtitle_time(F.col("turn") * 1.5), F.lit(" --> "), X.subtitle_time(F.col("turn") * 1.5 + 1.25), F.lit("\n"), F.col("text"))
     return c.groupBy("conv_id").agg(F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("turn", cue.alias("cue")))), lambda x: x["cue"]), "\n\n")).alias("srt"))
 
 
 SRT_SQL = """WITH t AS (SELECT *, (turn * 1500)::BIGINT AS a, (turn * 1500 + 1250)::BIGINT AS b FROM conversations)
-SELECT conv_id, md5(string_agg(turn || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || left(text, 10), chr(10) || chr(10) ORDER BY turn)) AS srt FROM t GROUP BY 1"""
+SELECT conv_id, md5(string_agg(turn || chr(10) || printf('%02d:%02d:%02d,%03d', a // 3600000, a // 60000 % 60, a // 1000 % 60, a % 1000) || ' --> ' || printf('%02d:%02d:%02d,%03d', b // 3600000, b // 60000 % 60, b // 1000 % 60, b % 1000) || chr(10) || text, chr(10) || chr(10) ORDER BY turn)) AS srt FROM t GROUP BY 1"""
 
 
 def timestamp_parse(s, d):
@@ -262,7 +262,7 @@ def timestamp_parse(s, d):
 
 def entity_properties(s, d):
     """Labels to their distinct texts in order, per order."""
-    li = table(s, d, "lineitem").where("l_orderkey % 25 = 0").select("l_orderkey", F.col("l_returnflag").alias("label"), F.col("l_linenumber").cast("string").alias("t"))
+    li = table(s, d, "lineitem").select("l_orderkey", F.col("l_returnflag").alias("label"), F.col("l_linenumber").cast("string").alias("t"))
     return li.groupBy("l_orderkey", "label").agg(F.array_join(F.sort_array(F.collect_set("t")), ",").alias("texts"))
 
 
@@ -289,14 +289,14 @@ SELECT query_id, vec_id, rerank, k - 1 AS rank FROM r WHERE k <= 5"""
 
 
 def attribute_recommender(s, d):
-    """Parts nearest to every part divisible by 500 by TF-IDF of name words, by shared words only."""
+    """Parts nearest to every part divisible by 50 by TF-IDF of name words, by shared words only."""
     p = table(s, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("term"))
     n = p.select("p_partkey").distinct().count()
     df = p.groupBy("term").agg(F.countDistinct("p_partkey").alias("df"))
     w = p.groupBy("p_partkey", "term").agg(F.count("*").alias("tf")).join(df, "term").withColumn("w", F.col("tf") * F.log(F.lit(float(n)) / F.col("df")))
     norm = w.groupBy("p_partkey").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
     w = w.join(norm, "p_partkey").select("p_partkey", "term", (F.col("w") / F.col("n")).alias("w"))
-    q = w.where("p_partkey % 500 = 0").select(F.col("p_partkey").alias("query_id"), "term", F.col("w").alias("qw"))
+    q = w.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "term", F.col("w").alias("qw"))
     hits = w.join(q, "term").where("p_partkey != query_id").groupBy("query_id", "p_partkey").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
     return R.top_k(hits, ["query_id"], [F.desc("score"), F.asc("p_partkey")], 5).select("query_id", "p_partkey", "score", L(F.col("rank")).alias("rank"))
 
@@ -304,7 +304,7 @@ def attribute_recommender(s, d):
 RECOMMEND_SQL = """WITH p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part), d AS (SELECT term, count(DISTINCT p_partkey) AS df FROM p GROUP BY 1),
 t AS (SELECT p_partkey, term, count(*) * ln((SELECT count(DISTINCT p_partkey) FROM p)::DOUBLE / df) AS w FROM p JOIN d USING (term) GROUP BY p_partkey, term, df),
 n AS (SELECT p_partkey, sqrt(sum(w * w)) AS n FROM t GROUP BY 1), u AS (SELECT p_partkey, term, w / n AS w FROM t JOIN n USING (p_partkey)),
-s AS (SELECT q.p_partkey AS query_id, u.p_partkey, round(sum(u.w * q.w), 6) AS score FROM u JOIN u q USING (term) WHERE q.p_partkey % 500 = 0 AND u.p_partkey <> q.p_partkey GROUP BY 1, 2),
+s AS (SELECT q.p_partkey AS query_id, u.p_partkey, round(sum(u.w * q.w), 6) AS score FROM u JOIN u q USING (term) WHERE q.p_partkey % 50 = 0 AND u.p_partkey <> q.p_partkey GROUP BY 1, 2),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, p_partkey) AS k FROM s) SELECT query_id, p_partkey, score, k - 1 AS rank FROM r WHERE k <= 5"""
 
 
@@ -349,12 +349,12 @@ QUERIES = {
     "trim_all": (trim_all, "SELECT p_partkey, p_brand AS brand, replace(p_name, ' ', '|') AS tokens FROM part"),
     "overflow_policy": (overflow_policy, "SELECT doc_id, CASE WHEN length(text) > 500 THEN 480 ELSE length(text) END::BIGINT AS n, length(text) > 500 AS cut FROM documents"),
     "geometry_guard": (geometry_guard, "SELECT l_orderkey, l_linenumber::BIGINT AS line FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_extendedprice DESC, l_linenumber) AS n FROM lineitem WHERE l_quantity < 45) WHERE n = 1"),
-    "privileged_terms": (privileged_terms, "SELECT user_id, string_agg(t, ',' ORDER BY t) AS terms FROM (SELECT DISTINCT user_id, upper(event_type) AS t FROM events WHERE value % 1 >= 0.5 AND event_type IN ('purchase', 'login')) GROUP BY 1"),
+    "privileged_terms": (privileged_terms, "SELECT user_id, string_agg(t, ',' ORDER BY t) AS terms FROM (SELECT DISTINCT user_id, upper(event_type) AS t FROM events WHERE value % 1 >= 0.5 AND event_type IN ('purchase', 'signup')) GROUP BY 1"),
     "safety_verdict": (safety_verdict, "SELECT conv_id, turn, turn % 3 = 2 AS unsafe FROM conversations"),
     "rerank_score_lookup": (score_lookup, LOOKUP_SQL),
     "rerank_rank_merge": (rank_merge, MERGE_SQL),
     "token_alignment": (token_alignment, ALIGN_SQL),
-    "relation_rows": (relation_rows, "SELECT n_name AS head, r_name AS tail, round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) AS score, row_number() OVER (PARTITION BY r_name ORDER BY round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) DESC, n_name) - 1 AS rank, r_regionkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_regionkey < 3"),
+    "relation_rows": (relation_rows, "SELECT n_name AS head, r_name AS tail, round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) AS score, row_number() OVER (PARTITION BY r_name ORDER BY round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) DESC, n_name) - 1 AS rank, r_regionkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AFRICA', 'AMERICA', 'ASIA')"),
     "placeholder_counts": (placeholder_counts, "SELECT lower(role) AS label, count(*) AS n FROM conversations GROUP BY 1"),
     "keyword_counts": (keyword_counts, "SELECT p_partkey, len(string_split(p_type, ' ')) AS n_primary, len(list_filter(list_distinct(string_split(p_name, ' ')), lambda x: NOT list_contains(string_split(p_type, ' '), x))) AS n_secondary FROM part"),
     "preference_vector": (preference_vector, "WITH p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part) SELECT term, round(CASE WHEN length(term) % 2 = 0 THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END * ln((SELECT count(*) FROM part)::DOUBLE / count(DISTINCT p_partkey)), 6) AS weight FROM p GROUP BY 1"),
@@ -372,10 +372,10 @@ QUERIES = {
     "entity_markdown": (entity_markdown, MARKDOWN_SQL),
     "reading_order": (reading_order, "SELECT doc_id, instr(text, 'a') > 0 AND instr(text, 'e') > 0 AND instr(text, '.') > 0 AS found, instr(text, 'a') > 0 AND instr(text, 'e') > instr(text, 'a') AND instr(text, '.') > instr(text, 'e') AS ordered FROM documents"),
     "hash_floats": (hash_floats, "SELECT item_id, i, round(CAST('0x' || substr(sha256(item_id || ':' || i), 1, 8) AS BIGINT)::DOUBLE / 2147483648.0 - 1, 9) AS x FROM benchmark, range(4) t(i)"),
-    "base64_capped": (base64_capped, "SELECT doc_id, length(to_base64(encode(left(text, 20)))) AS n, CASE WHEN length(to_base64(encode(left(text, 20)))) <= 32 THEN left(text, 20) ELSE '' END AS back FROM documents"),
+    "base64_capped": (base64_capped, "SELECT doc_id, length(to_base64(encode(text))) AS n, CASE WHEN length(to_base64(encode(text))) <= 4096 THEN text ELSE '' END AS back FROM documents"),
     "subtitle_documents": (subtitles, SRT_SQL),
     "timestamp_parse": (timestamp_parse, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN epoch_us(ts) // 1000000 ELSE -1 END::BIGINT AS at FROM events"),
-    "entity_properties": (entity_properties, "SELECT l_orderkey, l_returnflag AS label, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS texts FROM lineitem WHERE l_orderkey % 25 = 0 GROUP BY 1, 2"),
+    "entity_properties": (entity_properties, "SELECT l_orderkey, l_returnflag AS label, string_agg(DISTINCT l_linenumber::VARCHAR, ',' ORDER BY l_linenumber::VARCHAR) AS texts FROM lineitem GROUP BY 1, 2"),
     "document_routing": (document_routing, f"SELECT page_id, CASE WHEN length(trim(t)) < 16 THEN 'url' WHEN length(t) > length(html) / 2 THEN 'text' ELSE 'markup' END AS route FROM (SELECT *, {_sql_plain('html')} AS t FROM pages)"),
     "product_search": (product_search, PRODUCT_SQL),
     "attribute_recommender": (attribute_recommender, RECOMMEND_SQL),

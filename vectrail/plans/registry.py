@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 FLAGSHIP = "grounded_passages"
-from vectrail.plans import more_queries, span_queries, table_queries, text_queries, vector_queries
+from vectrail.plans import more_queries, record_queries, span_queries, table_queries, text_queries, vector_queries
 
-MODULES: tuple = (vector_queries, text_queries, table_queries, span_queries, more_queries)
+MODULES: tuple = (vector_queries, text_queries, table_queries, span_queries, more_queries, record_queries)
 
 
 def queries() -> dict:

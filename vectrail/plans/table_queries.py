@@ -53,8 +53,8 @@ def array_membership(s, d):
 
 def upsert_suppliers(s, d):
     t = table(s, d, "supplier").select("s_suppkey", "s_name", "s_acctbal")
-    fresh = t.where("s_suppkey % 3 = 0").withColumn("s_acctbal", F.lit(0.0)).unionByName(
-        t.where("s_suppkey <= 5").select((F.col("s_suppkey") + 1_000_000).alias("s_suppkey"), "s_name", "s_acctbal"))
+    fresh = t.where("s_acctbal < 0").withColumn("s_acctbal", F.lit(0.0)).unionByName(
+        t.where("s_acctbal > 9000").select((F.col("s_suppkey") + 1_000_000).alias("s_suppkey"), "s_name", "s_acctbal"))
     return upsert(t, fresh, ["s_suppkey"])
 
 
@@ -240,7 +240,7 @@ def sequence_gaps(s, d):
 
 def stream_outcome(s, d):
     """Deltas in arrival order joined, time to the first and mean gap."""
-    c = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.left("text", F.lit(5)).alias("d")))).alias("a"))
+    c = table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", F.col("text").alias("d")))).alias("a"))
     return c.select("conv_id", F.array_join(F.transform("a", lambda x: x["d"]), "").alias("joined"), L(F.size("a")).alias("n"))
 
 
@@ -276,7 +276,7 @@ def cost_order(s, d):
 def box_geometry(s, d):
     """Boxes made of line items: overlap of neighbours in an order, and the padded crop."""
     box = lambda p: [F.col(p + "l_quantity"), F.col(p + "l_linenumber") * 3.0, F.col(p + "l_quantity") + 12.0, F.col(p + "l_linenumber") * 3.0 + 5.0]
-    li = table(s, d, "lineitem").where("l_orderkey % 10 = 0").select("l_orderkey", "l_linenumber", "l_quantity")
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     other = li.select("l_orderkey", F.col("l_linenumber").alias("o_l_linenumber"), F.col("l_quantity").alias("o_l_quantity"))
     j = li.join(other, "l_orderkey").where("o_l_linenumber = l_linenumber + 1")
     a, b = box(""), box("o_")
@@ -284,7 +284,7 @@ def box_geometry(s, d):
     return j.select("l_orderkey", L(F.col("l_linenumber")).alias("line"), F.round(V.iou(a, b), 6).alias("iou"), F.round(overlap, 6).alias("overlap"), F.greatest(F.lit(0.0), F.rint(a[0] - 12.0 * 0.2)).alias("crop_left"))
 
 
-BOX_SQL = """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS x, l_linenumber * 3.0::DOUBLE AS y FROM lineitem WHERE l_orderkey % 10 = 0),
+BOX_SQL = """WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_quantity AS x, l_linenumber * 3.0::DOUBLE AS y FROM lineitem),
 j AS (SELECT a.l_orderkey, a.n, a.x AS ax, b.x AS bx, greatest(0, least(a.x + 12, b.x + 12) - greatest(a.x, b.x)) AS w, greatest(0, least(a.y + 5, b.y + 5) - greatest(a.y, b.y)) AS h FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND b.n = a.n + 1)
 SELECT l_orderkey, n::BIGINT AS line, round(w * h / (120.0::DOUBLE - w * h), 6) AS iou, round(w / 12.0::DOUBLE, 6) AS overlap, greatest(0, round_even(ax - 12.0::DOUBLE * 0.2::DOUBLE, 0)) AS crop_left FROM j"""
 
@@ -318,7 +318,7 @@ def event_normalise(s, d):
 
 def vertical_pairs(s, d):
     """For each order the pair of lines with the largest price sum less quantity gap."""
-    li = table(s, d, "lineitem").where("l_orderkey % 7 = 0").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
     b = li.select("l_orderkey", *(F.col(c).alias("b_" + c) for c in ("l_linenumber", "l_extendedprice", "l_quantity")))
     j = li.join(b, "l_orderkey").where("l_linenumber < b_l_linenumber")
     score = F.round(F.col("l_extendedprice") + F.col("b_l_extendedprice") - F.abs(F.col("l_quantity") - F.col("b_l_quantity")) / 10000, 4)
@@ -341,7 +341,7 @@ QUERIES = {
     "compound_filter": (compound_filter, "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND o_orderpriority IN ('1-URGENT', '2-HIGH')"),
     "required_rows": (required_rows, "SELECT p_partkey, len(string_split(p_name, ' ')) AS n_tokens FROM part WHERE p_name IS NOT NULL AND p_size > 0 AND NOT list_contains(string_split(p_name, ' '), '')"),
     "array_membership": (array_membership, "SELECT c_custkey FROM customer WHERE regexp_full_match(c_custkey::VARCHAR, '[0-5]+')"),
-    "upsert": (upsert_suppliers, "SELECT s_suppkey, s_name, CASE WHEN s_suppkey % 3 = 0 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal FROM supplier WHERE s_suppkey <= 5"),
+    "upsert": (upsert_suppliers, "SELECT s_suppkey, s_name, CASE WHEN s_acctbal < 0 THEN 0.0::DOUBLE ELSE s_acctbal END AS s_acctbal FROM supplier UNION ALL SELECT s_suppkey + 1000000, s_name, s_acctbal FROM supplier WHERE s_acctbal > 9000"),
     "named_index_rows": (named_index, "SELECT p_partkey || '::' || kind AS id, body FROM (SELECT p_partkey, 'short' AS kind, p_brand AS body FROM part UNION ALL SELECT p_partkey, 'long', p_name FROM part) WHERE trim(body) <> ''"),
     "enrichment_merge": (enrichment_merge, "SELECT p_partkey, p_brand, coalesce(list_aggregate(list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4), lambda x: upper(x)), 'string_agg', '|'), '') AS entities FROM part"),
     "cart_totals": (cart_totals, "SELECT l_orderkey, round(sum(l_quantity * l_extendedprice), 2) AS total FROM lineitem GROUP BY 1"),
@@ -365,7 +365,7 @@ QUERIES = {
     "profile_novelty": (profile_novelty, NOVEL_SQL),
     "repeat_match_decay": (repeat_match_decay, DECAY_SQL),
     "sequence_gaps": (sequence_gaps, f"WITH {EV}, w AS (SELECT event_id, k, max(k) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM e) SELECT event_id, CASE WHEN seen IS NULL THEN 'first' WHEN k <= seen THEN 'dropped' WHEN k > seen + 1 THEN 'gap' ELSE 'ok' END AS kind FROM w"),
-    "stream_outcome": (stream_outcome, "SELECT conv_id, string_agg(left(text, 5), '' ORDER BY turn) AS joined, count(*) AS n FROM conversations GROUP BY 1"),
+    "stream_outcome": (stream_outcome, "SELECT conv_id, string_agg(text, '' ORDER BY turn) AS joined, count(*) AS n FROM conversations GROUP BY 1"),
     "ttl_active": (ttl_active, "SELECT user_id, max(ts) > (SELECT max(ts) FROM events) - INTERVAL 2 DAY OR max(value) > 400 AS active FROM events GROUP BY 1"),
     "token_bucket": (token_bucket, """WITH RECURSIVE n AS (SELECT user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i FROM events),
 b AS (SELECT user_id, ts, i, 2.0::DOUBLE AS left_over, 1::BIGINT AS passed FROM n WHERE i = 1 UNION ALL
@@ -377,7 +377,7 @@ SELECT user_id, max(i) AS n, max(passed) AS passed FROM b GROUP BY 1"""),
     "classification_rows": (classification_rows, "WITH v AS (SELECT c_custkey, c_acctbal / 10000.0::DOUBLE AS v FROM customer), u AS (SELECT c_custkey, 'poor' AS label, round(1 - v, 6) AS score FROM v WHERE 1 - v >= 0.4 UNION ALL SELECT c_custkey, 'rich', round(v, 6) FROM v WHERE v >= 0.4) SELECT c_custkey, label, score, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, label) - 1 AS rank FROM u"),
     "scoped_sql": (obligations, "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1"),
     "event_validation": (event_normalise, "SELECT CASE WHEN user_id IS NULL THEN 'no user' WHEN NOT regexp_full_match(event_type, '[a-z_]+') THEN 'verb' WHEN value < 0 THEN 'value' ELSE 'ok' END AS verdict, count(*) AS n FROM events GROUP BY 1"),
-    "vertical_pairs": (vertical_pairs, "WITH l AS (SELECT * FROM lineitem WHERE l_orderkey % 7 = 0), j AS (SELECT a.l_orderkey, a.l_linenumber AS x, b.l_linenumber AS y, round(a.l_extendedprice + b.l_extendedprice - abs(a.l_quantity - b.l_quantity) / 10000, 4) AS score FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, x, y) AS n FROM j) SELECT l_orderkey, x::BIGINT AS a, y::BIGINT AS b, score FROM r WHERE n = 1"),
+    "vertical_pairs": (vertical_pairs, "WITH l AS (SELECT * FROM lineitem), j AS (SELECT a.l_orderkey, a.l_linenumber AS x, b.l_linenumber AS y, round(a.l_extendedprice + b.l_extendedprice - abs(a.l_quantity - b.l_quantity) / 10000, 4) AS score FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, x, y) AS n FROM j) SELECT l_orderkey, x::BIGINT AS a, y::BIGINT AS b, score FROM r WHERE n = 1"),
     "anti_join_misses": (misses, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "taxonomy_paths": (taxonomy_paths, "SELECT p_partkey, string_split(p_type, ' ')[-1] AS leaf, len(string_split(p_type, ' ')) AS level, CASE WHEN len(string_split(p_type, ' ')) >= 2 THEN string_split(p_type, ' ')[1] || ' > ' || string_split(p_type, ' ')[2] ELSE '' END AS prefix_2 FROM part"),
 }

@@ -49,17 +49,18 @@ def chunk_vectors(spark, chunked: DataFrame, text: str = "chunk", key: tuple[str
 
 
 def hash_embed_norm(s, d):
-    v = chunk_vectors(s, _docs(s, d).where("n_chars < 600"), "text", ("doc_id",))
+    v = chunk_vectors(s, _docs(s, d), "text", ("doc_id",))
     return v.select("doc_id", F.posexplode("vector").alias("pos", "x"), V.norm(F.col("vector")).alias("n")).select("doc_id", L(F.col("pos")).alias("pos"), F.round(F.col("x") / F.col("n"), 6).alias("value"))
 
 
-HASH_SQL = f"""WITH v AS (SELECT doc_id, {VEC.format('text')} AS v FROM documents WHERE n_chars < 600), u AS (SELECT doc_id, v, unnest(v) AS x, unnest(range(64)) AS pos FROM v WHERE list_sum(v) > 0)
-SELECT doc_id, pos, round(x / sqrt(list_dot_product(v, v)), 6) AS value FROM u"""
+HASH_SQL = f"""WITH k AS (SELECT doc_id, CAST('0x' || substr(sha256(t), 63, 2) AS INT) % 64 AS b FROM (SELECT doc_id, unnest({TOK.format('text')}) AS t FROM documents)),
+c AS (SELECT doc_id, b, count(*) AS n FROM k GROUP BY 1, 2), l AS (SELECT doc_id, sqrt(sum(n * n)) AS norm FROM c GROUP BY 1)
+SELECT l.doc_id, pos, round(coalesce(n, 0) / norm, 6) AS value FROM l CROSS JOIN range(64) r(pos) LEFT JOIN c ON c.doc_id = l.doc_id AND c.b = r.pos"""
 
 
 def grounded_passages(s, d, k: int = 3):
-    """For each benchmark item (every id divisible by 50, and item 1) the chunks nearest to it by hash vectors, reranked by coverage."""
-    items = table(s, d, "benchmark").where("item_id % 50 = 0 OR item_id = 1").select("item_id", F.col("text").alias("question"))
+    """For each benchmark item (every id divisible by 50) the chunks nearest to it by hash vectors, reranked by coverage."""
+    items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
     q = items.join(chunk_vectors(s, items, "question", ("item_id",)).withColumnRenamed("vector", "query"), "item_id")
     chunked = chunks(_docs(s, d))
     rows = chunked.select("doc_id", "chunk_ix").join(chunk_vectors(s, chunked), ["doc_id", "chunk_ix"])
@@ -71,7 +72,7 @@ def grounded_passages(s, d, k: int = 3):
     return best.select("item_id", L(F.col("place")).alias("place"), "doc_id", "chunk_ix", "start", "cosine", "score")
 
 
-GROUNDED_SQL = f"""WITH {CHUNK_SQL}, items AS (SELECT item_id, text AS question, {VEC.format('text')} AS qv FROM benchmark WHERE item_id % 50 = 0 OR item_id = 1),
+GROUNDED_SQL = f"""WITH {CHUNK_SQL}, items AS (SELECT item_id, text AS question, {VEC.format('text')} AS qv FROM benchmark WHERE item_id % 50 = 0),
 tk AS (SELECT doc_id, chunk_ix, CAST('0x' || substr(sha256(t), 63, 2) AS INT) % 64 AS b, count(*) AS n FROM (SELECT doc_id, chunk_ix, unnest({TOK.format('chunk')}) AS t FROM c) GROUP BY 1, 2, 3),
 qb AS (SELECT item_id, unnest(qv) AS x, unnest(range(64)) AS b FROM items),
 qn AS (SELECT item_id, sqrt(sum(x * x)) AS n FROM qb GROUP BY 1), cn AS (SELECT doc_id, chunk_ix, sqrt(sum(n * n)) AS n FROM tk GROUP BY 1, 2),
@@ -147,17 +148,17 @@ def text_normalise(s, d):
 def simple_scalars(s, d):
     t = F.col("text")
     return _docs(s, d).select(
-        "doc_id", X.token_estimate(t).alias("tokens"), X.slug(F.left(t, F.lit(60))).alias("slug"), X.placeholder(F.left(t, F.lit(30))).alias("placeholder"),
-        X.mask_secret(F.left(t, F.lit(12))).alias("masked"), (F.length(F.trim(t)) < 16).alias("near_empty"), F.concat(F.lit("query: "), t).substr(1, 20).alias("templated"),
-        F.replace(F.replace(F.left(t, F.lit(20)), F.lit("/"), F.lit("__")), F.lit(" "), F.lit("_")).alias("model_id"),
+        "doc_id", X.token_estimate(t).alias("tokens"), F.md5(X.slug(t)).alias("slug"), F.md5(X.placeholder(t)).alias("placeholder"),
+        F.md5(X.mask_secret(t)).alias("masked"), (F.length(F.trim(t)) < 16).alias("near_empty"), F.md5(F.concat(F.lit("query: "), t)).alias("templated"),
+        F.md5(F.replace(F.replace(t, F.lit("/"), F.lit("__")), F.lit(" "), F.lit("_"))).alias("model_id"),
     )
 
 
 SCALAR_SQL = r"""SELECT doc_id, CASE WHEN length(text) = 0 THEN 0 ELSE greatest(1, floor(length(text) / 4))::BIGINT END AS tokens,
- regexp_replace(regexp_replace(lower(left(text, 60)), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug,
- regexp_replace(regexp_replace(upper(replace(left(text, 30), 'ß', 'SS')), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS placeholder,
- CASE WHEN length(left(text, 12)) <= 4 THEN repeat('*', length(left(text, 12))) ELSE repeat('*', length(left(text, 12)) - 4) || right(left(text, 12), 4) END AS masked,
- length(trim(text)) < 16 AS near_empty, substr('query: ' || text, 1, 20) AS templated, replace(replace(left(text, 20), '/', '__'), ' ', '_') AS model_id FROM documents"""
+ md5(regexp_replace(regexp_replace(lower(text), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g')) AS slug,
+ md5(regexp_replace(regexp_replace(upper(replace(text, 'ß', 'SS')), '[^A-Z0-9]+', '_', 'g'), '^_+|_+$', '', 'g')) AS placeholder,
+ md5(CASE WHEN length(text) <= 4 THEN repeat('*', length(text)) ELSE repeat('*', length(text) - 4) || right(text, 4) END) AS masked,
+ length(trim(text)) < 16 AS near_empty, md5('query: ' || text) AS templated, md5(replace(replace(text, '/', '__'), ' ', '_')) AS model_id FROM documents"""
 
 
 def unique_lines(s, d):
@@ -176,14 +177,14 @@ SELECT doc_id, unnest(range(len(parts))) AS pos, md5(unnest(parts)) AS digest FR
 
 def heading_chunks(s, d):
     """Lines from one heading to the next, joined by spaces; a line that begins upper-case ``A`` stands for a heading."""
-    line = _docs(s, d).where("n_chars < 3000").select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    line = _docs(s, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     w = Window.partitionBy("doc_id").orderBy("pos")
     part = line.withColumn("section", F.sum(F.col("line").startswith("A").cast("int")).over(w))
     joined = part.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), " ").alias("body"))
     return joined.where(F.length("body") > 24).select("doc_id", L(F.col("section")).alias("section"), F.md5("body").alias("digest"))
 
 
-HEADING_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents WHERE n_chars < 3000),
+HEADING_SQL = r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
 p AS (SELECT *, sum(CASE WHEN starts_with(line, 'A') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS section FROM l),
 j AS (SELECT doc_id, section, string_agg(line, ' ' ORDER BY pos) AS body FROM p GROUP BY 1, 2)
 SELECT doc_id, section::BIGINT AS section, md5(body) AS digest FROM j WHERE length(body) > 24"""
@@ -208,7 +209,7 @@ FROM benchmark b, documents d WHERE item_id % 50 = 0 AND instr(d.text, b.text) >
 def numbers_and_times(s, d):
     t = F.col("text")
     return _docs(s, d).select(
-        "doc_id", F.coalesce(X.first_number(F.left(t, F.lit(400))) * 0 + F.length(F.regexp_extract(F.left(t, F.lit(400)), r"(\d+)", 1)), F.lit(0.0)).alias("digits"),
+        "doc_id", F.coalesce(X.first_number(t) * 0 + F.length(F.regexp_extract(t, r"(\d+)", 1)), F.lit(0.0)).alias("digits"),
         X.subtitle_time(F.col("n_chars") / 7.0).alias("srt"), X.subtitle_time(F.col("n_chars") / 7.0, ".").alias("vtt"),
         F.coalesce(X.clock_minutes(F.concat((F.col("doc_id") % 12 + 1).cast("string"), F.lit(":30 "), F.when(F.col("doc_id") % 2 == 0, "AM").otherwise("pm"))), F.lit(-1)).cast("long").alias("minute"),
         F.round(F.col("n_chars").cast("decimal(38,18)") / 1000, 6).cast("double").alias("thousands"),
@@ -216,7 +217,7 @@ def numbers_and_times(s, d):
 
 
 NUM_SQL = r"""WITH m AS (SELECT *, round_even(n_chars / 7.0 * 1000, 0)::BIGINT AS ms FROM documents)
-SELECT doc_id, length(regexp_extract(left(text, 400), '(\d+)', 1))::DOUBLE AS digits,
+SELECT doc_id, length(regexp_extract(text, '(\d+)', 1))::DOUBLE AS digits,
  printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS srt,
  printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS vtt,
  (((doc_id % 12 + 1) % 12 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 12 END) * 60 + 30)::BIGINT AS minute, round(n_chars / 1000.0, 6)::DOUBLE AS thousands FROM m"""
@@ -225,12 +226,12 @@ SELECT doc_id, length(regexp_extract(left(text, 400), '(\d+)', 1))::DOUBLE AS di
 def llm_text_cleanup(s, d):
     """Thinking blocks, SQL fences and lenient markers stripped from turns made of conversations."""
     t = F.col("text")
-    made = F.concat(F.lit("<think>"), F.left(t, F.lit(20)), F.lit("</think>"), F.right(t, F.lit(20)), F.lit("<think>open"))
+    made = F.concat(F.lit("<think>"), t, F.lit("</think>"), t, F.lit("<think>open"))
     fenced = F.concat(F.lit("```sql\nSELECT "), F.col("turn").cast("string"), F.lit(";\n```"))
     return table(s, d, "conversations").select("conv_id", "turn", F.md5(X.without_thinking(made)).alias("visible"), X.strip_fence(fenced).alias("sql"))
 
 
-CLEAN_SQL = r"""SELECT conv_id, turn, md5(regexp_replace('<think>' || left(text, 20) || '</think>' || right(text, 20) || '<think>open', '(?s)<think>.*?(?:</think>|$)', '', 'g')) AS visible, 'SELECT ' || turn AS sql FROM conversations"""
+CLEAN_SQL = r"""SELECT conv_id, turn, md5(regexp_replace('<think>' || text || '</think>' || text || '<think>open', '(?s)<think>.*?(?:</think>|$)', '', 'g')) AS visible, 'SELECT ' || turn AS sql FROM conversations"""
 
 
 def transcripts(s, d):
@@ -270,7 +271,7 @@ p AS (SELECT *, base + instr(chunk, m) - 1 AS s FROM h) SELECT doc_id, count(DIS
 
 def merge_adjacent_spans(s, d):
     """Upper-case words as labelled spans; neighbours at most one apart become one (islands over the running end)."""
-    words = _docs(s, d).where("n_chars < 2000").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    words = _docs(s, d).select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     spans = words.where(F.col("w").rlike("^[A-Z]")).select("doc_id", F.col("pos").alias("start"), F.col("pos").alias("stop"), F.length("w").alias("score"))
     w = Window.partitionBy("doc_id").orderBy("start", "stop")
     apart = F.col("start") > F.max("stop").over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1
@@ -278,7 +279,7 @@ def merge_adjacent_spans(s, d):
     return islands.groupBy("doc_id", "island").agg(L(F.min("start")).alias("start"), L(F.max("stop")).alias("stop"), L(F.max("score")).alias("score")).select("doc_id", "start", "stop", "score")
 
 
-ISLAND_SQL = """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents WHERE n_chars < 2000),
+ISLAND_SQL = """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
 s AS (SELECT doc_id, pos, length(w) AS score FROM w WHERE regexp_matches(w, '^[A-Z]')),
 g AS (SELECT *, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS island FROM s)
 SELECT doc_id, min(pos) AS start, max(pos) AS stop, max(score)::BIGINT AS score FROM g GROUP BY doc_id, island"""
@@ -303,16 +304,16 @@ def markdown_tables(s, d):
 
 
 def hash_scalars(s, d):
-    t = F.left(F.col("text"), F.lit(30))
+    t = F.col("text")
     h = F.sha2(t, 256)
     return _docs(s, d).select(
         "doc_id", L(X.hash_bucket(t)).alias("bucket"), F.substring(F.sha2(F.to_json(F.array(F.col("doc_id").cast("string"), F.col("lang"))), 256), 1, 20).alias("case_id"),
-        F.round(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0, 9).alias("unit_interval"), F.coalesce("text", F.lit("")).substr(1, 10).alias("item_key"),
+        F.round(F.conv(F.substring(h, 1, 8), 16, 10).cast("double") / 4294967296.0, 9).alias("unit_interval"), F.md5(F.coalesce("text", F.lit(""))).alias("item_key"),
     )
 
 
-HASHSC_SQL = """SELECT doc_id, (CAST('0x' || substr(sha256(left(text, 30)), 63, 2) AS INT) % 64)::BIGINT AS bucket,
- substr(sha256('["' || doc_id || '","' || lang || '"]'), 1, 20) AS case_id, round(CAST('0x' || substr(sha256(left(text, 30)), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0, 9) AS unit_interval, substr(text, 1, 10) AS item_key FROM documents"""
+HASHSC_SQL = """SELECT doc_id, (CAST('0x' || substr(sha256(text), 63, 2) AS INT) % 64)::BIGINT AS bucket,
+ substr(sha256('["' || doc_id || '","' || lang || '"]'), 1, 20) AS case_id, round(CAST('0x' || substr(sha256(text), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0, 9) AS unit_interval, md5(text) AS item_key FROM documents"""
 
 
 def context_compression(s, d):
