@@ -97,13 +97,18 @@ def greedy_interval_match(pred: DataFrame, gold: DataFrame, keys: list[str]) ->
     kinds = dict(pairs.dtypes)
 
     def claim(rows):
-        used, out = set(), []
-        for _, mine in rows.sort_values(["ps", "pred_id"]).groupby("pred_id", sort=False):
-            free = mine[~mine["gold_id"].isin(used)].sort_values(["overlap", "gold_id"], ascending=[False, True])
-            if len(free):
-                used.add(free.iloc[0]["gold_id"])
-                out.append(free.iloc[:1])
-        return rows.iloc[:0] if not out else __import__("pandas").concat(out)
+        pred, gold = rows["pred_id"].tolist(), rows["gold_id"].tolist()
+        start, overlap = rows["ps"].tolist(), rows["overlap"].tolist()
+        first: dict = {}
+        for k, at in zip(pred, start, strict=True):
+            first[k] = min(at, first.get(k, at))
+        claimed, used, kept = set(), set(), []
+        for i in sorted(range(len(pred)), key=lambda i: (first[pred[i]], pred[i], -overlap[i], gold[i])):
+            if pred[i] not in claimed and gold[i] not in used:
+                claimed.add(pred[i])
+                used.add(gold[i])
+                kept.append(i)
+        return rows.iloc[kept]
 
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in pairs.columns)
     return pairs.groupBy(*keys).applyInPandas(claim, schema)
