@@ -78,6 +78,32 @@ def test_redaction_prefers_the_better_span_and_shares_numbers(spark):
     assert out == "call [NAME_1] or [NAME_2] or [NAME_1]"
 
 
+def test_every_match_is_a_span_and_is_redacted(spark):
+    import re
+
+    from vectrail.plans.span_queries import PATTERNS
+
+    texts = [
+        "a@b.com, 123456 then a@b.com and 123456; 0123456, 1234567", "1234567 123456 123456@b.com", "é😀 123456é123456\n123456",
+        "u123456@x.org u123456@x.org 123456", "none", "", "123456", "a@b.com" * 3,
+    ]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i long, text string")
+    rows = rows.withColumn("found", spans.regex_spans(F.col("text"), PATTERNS)).withColumn("kept", spans.select_spans(F.col("found")))
+    for r in rows.withColumn("redacted", spans.redact(F.col("text"), F.col("kept"))).collect():
+        want = [(m.start(), m.end(), label, m[0]) for label, p in PATTERNS.items() for m in re.finditer(p, r["text"])]
+        assert [(s["start"], s["end"], s["label"], s["text"]) for s in r["found"]] == want
+        out, at, numbers, kept = "", 0, {}, []
+        for s in sorted(want, key=lambda s: s[0]):
+            if s[0] >= at:
+                of = numbers.setdefault(s[2], {})
+                out += r["text"][at : s[0]] + f"[{s[2].upper()}_{of.setdefault(s[3], len(of) + 1)}]"
+                at = s[1]
+                kept.append(s)
+        assert [tuple(s)[:4] for s in r["kept"]] == kept
+        assert r["redacted"] == out + r["text"][at:]
+        assert not any(re.search(p, r["redacted"]) for p in PATTERNS.values())
+
+
 def test_paragraphs_pack_and_cut(spark):
     packed = one(spark, spans.pack_paragraphs(F.lit("aa\n\nbb\n\n  \n\ncccccccc"), 6))
     assert packed == ["aa\n\nbb", "cccccc", "cc"]

@@ -111,3 +111,21 @@ def clock_minutes(text: Column) -> Column:
 def first_number(text: Column) -> Column:
     """The first decimal number, commas stripped."""
     return F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """(start, end, match) of every match, leftmost, without overlap; the pattern must not match the empty text.
+
+    The text is split at the matches; the lengths of the pieces and the matches give the offsets.
+    """
+    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
+    pairs = F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string>>").alias("spans"))
+
+    def step(acc: Column, x: Column) -> Column:
+        begin = acc["at"] + x["gap"]
+        end = begin + F.length(x["m"])
+        span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match"))
+        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+
+    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["spans"])

@@ -5,14 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectrail.functions import text as X
+
 SPAN = "array<struct<start:bigint,end:bigint,label:string,text:string,score:double>>"
 
 
 def select_spans(spans: Column, least: float = 0.3) -> Column:
-    """Spans of at least this score, best first (then the earlier), each kept if it overlaps none kept; by start."""
+    """Spans of at least this score, best first (then the earlier, then as listed), each kept if it overlaps none kept; by start."""
     good = F.filter(spans, lambda s: s["score"] >= least)
     ordered = F.transform(
-        F.sort_array(F.transform(good, lambda s: F.struct((-s["score"]).alias("k"), s["start"].alias("at"), s.alias("s")))),
+        F.sort_array(F.transform(good, lambda s, i: F.struct((-s["score"]).alias("k"), s["start"].alias("at"), i.alias("i"), s.alias("s")))),
         lambda x: x["s"],
     )
     kept = F.aggregate(
@@ -44,21 +46,12 @@ def redact(text: Column, spans: Column) -> Column:
 
 
 def regex_spans(text: Column, patterns: dict[str, str]) -> Column:
-    """Spans of literal first occurrences of what each pattern finds, with score 1; a simple detector for redaction."""
-    parts = []
-    for label, pattern in patterns.items():
-        found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-        parts.append(
-            F.transform(
-                found,
-                lambda m, label=label: F.struct(
-                    (F.instr(text, m) - 1).cast("bigint").alias("start"),
-                    (F.instr(text, m) - 1 + F.length(m)).cast("bigint").alias("end"),
-                    F.lit(label).alias("label"), m.alias("text"), F.lit(1.0).alias("score"),
-                ),
-            )
-        )
-    return F.concat(*parts)
+    """Spans of every match of each pattern, at its own place, with score 1; a simple detector for redaction."""
+    spans = lambda label, pattern: F.transform(
+        X.matches(text, pattern),
+        lambda m: F.struct(m["start"], m["end"], F.lit(label).alias("label"), m["match"].alias("text"), F.lit(1.0).alias("score")),
+    )
+    return F.concat(*(spans(label, pattern) for label, pattern in patterns.items()))
 
 
 def pack_paragraphs(text: Column, most: int) -> Column:
