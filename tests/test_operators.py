@@ -104,6 +104,23 @@ def test_every_match_is_a_span_and_is_redacted(spark):
         assert not any(re.search(p, r["redacted"]) for p in PATTERNS.values())
 
 
+def test_numbers_found_in_windows_are_those_of_one_pass(spark, sf_dir):
+    import re
+
+    from vectrail.plans.text_queries import number_spans, windowed_spans
+
+    def one_pass(rows):
+        return sorted((r["doc_id"], m.start(), m.end()) for r in rows for m in re.finditer("[0-9]{4,}", r["text"]) if r["text"].strip())
+
+    made = ["2024", "2024 2024 and 2024", "x" * 6 + "1234567" + "y" * 9 + "1234567", "1" * 50, "a" + "1" * 30 + "b" + "2" * 4, "12345" * 2 + "é " + "12345", "no", ""]
+    made += ["z" * k + "12345" + "z" * 20 + "12345" for k in range(12)] + ["z" * k + "1" * n + "z" * 9 for k in range(9) for n in (4, 5, 13, 17)]
+    rows = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    for window, overlap in ((10, 5), (10, 6), (1000, 100)):
+        assert sorted(map(tuple, number_spans(rows, window, overlap).collect())) == one_pass(rows.collect())
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").collect()
+    assert sorted(map(tuple, windowed_spans(spark, sf_dir).collect())) == one_pass(docs)
+
+
 def test_paragraphs_pack_and_cut(spark):
     packed = one(spark, spans.pack_paragraphs(F.lit("aa\n\nbb\n\n  \n\ncccccccc"), 6))
     assert packed == ["aa\n\nbb", "cccccc", "cc"]
