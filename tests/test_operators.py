@@ -121,6 +121,23 @@ def test_numbers_found_in_windows_are_those_of_one_pass(spark, sf_dir):
     assert sorted(map(tuple, windowed_spans(spark, sf_dir).collect())) == one_pass(docs)
 
 
+def test_items_are_scored_over_all_vectors(spark, sf_dir):
+    import math
+
+    from vectrail.plans.vector_queries import item_scores
+
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    items, unit = {}, lambda v: [x / (math.hypot(*v) or 1.0) for x in v]
+    for r in sorted(e.collect(), key=lambda r: r["vec_id"]):
+        items.setdefault(r["vec_id"] // 8, []).append(list(r["embedding"]))
+    best = lambda q, d: sum(max(math.sumprod(a, b) for b in d) for a in q)
+    got = {(r["query_item"], r["doc_item"]): (r["score"], r["by_length"]) for r in item_scores(e).collect()}
+    assert set(got) == {(q, d) for q in items if q % 50 == 0 for d in items}
+    for (q, d), (score, mean) in got.items():
+        assert score == pytest.approx(best(items[q], items[d]), abs=1e-5)
+        assert mean == pytest.approx(best(map(unit, items[q]), [unit(v) for v in items[d]]) / len(items[q]), abs=1e-5)
+
+
 def test_paragraphs_pack_and_cut(spark):
     packed = one(spark, spans.pack_paragraphs(F.lit("aa\n\nbb\n\n  \n\ncccccccc"), 6))
     assert packed == ["aa\n\nbb", "cccccc", "cc"]
