@@ -138,6 +138,37 @@ def test_items_are_scored_over_all_vectors(spark, sf_dir):
         assert mean == pytest.approx(best(map(unit, items[q]), [unit(v) for v in items[d]]) / len(items[q]), abs=1e-5)
 
 
+def test_spans_of_whole_documents_are_aligned(spark, sf_dir):
+    import re
+
+    from vectrail.plans.more_queries import PATTERNS, aligned_spans
+
+    made = ["ab 1234567", "  1234567  x a@b.com", "x (123456), 123456", "w " * 2000 + "123456 a@b.com", "1" * 30, "none", ""]
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = docs.union(spark.createDataFrame([(-1 - i, t) for i, t in enumerate(made)], docs.schema))
+    want = set()
+    for r in docs.collect():
+        at, words = 0, []
+        for w in r["text"].split(" "):
+            words.append((at, at + len(w)))
+            at += len(w) + 1
+        for label, p in PATTERNS.items():
+            for m in re.finditer(p, r["text"]):
+                hit = [i for i, (a, b) in enumerate(words) if a < m.end() and b > m.start()]
+                want.add((r["doc_id"], label, m.start(), m.end(), hit[0], hit[-1]))
+    for bucket in (900, 7):
+        assert {tuple(r) for r in aligned_spans(docs, PATTERNS, bucket).collect()} == want
+
+
+def test_every_line_has_a_hull(spark, sf_dir):
+    from vectrail.plans.more_queries import quad_boxes, quad_boxes_lines
+
+    every = quad_boxes_lines(spark, sf_dir)
+    assert every.count() == spark.read.parquet(f"{sf_dir}/lineitem.parquet").count()
+    first = sorted(map(tuple, every.where("l_linenumber = 1").drop("l_linenumber").collect()))
+    assert first == sorted(map(tuple, quad_boxes(spark, sf_dir).collect()))
+
+
 def test_paragraphs_pack_and_cut(spark):
     packed = one(spark, spans.pack_paragraphs(F.lit("aa\n\nbb\n\n  \n\ncccccccc"), 6))
     assert packed == ["aa\n\nbb", "cccccc", "cc"]

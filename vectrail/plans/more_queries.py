@@ -9,6 +9,7 @@ from vectrail.functions import text as X
 from vectrail.functions import vectors as V
 from vectrail.operators import ranking as R
 from vectrail.plans import vector_queries as VQ
+from vectrail.plans.span_queries import PATTERNS
 from vectrail.plans.text_queries import _sql_plain
 from vectrail.session import table
 
@@ -77,8 +78,30 @@ MERGE_SQL = f"""WITH h AS ({COS_SQL}), j AS (SELECT query_id, vec_id, rank AS co
 SELECT query_id, vec_id, cosine_rank, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, cosine_rank) - 1 AS rank FROM j"""
 
 
+def aligned_spans(docs, patterns: dict[str, str], bucket: int = 900):
+    """(doc_id, label, start, end, first, last): the first and last word that each match of a pattern touches, over whole texts.
+
+    Words are parted by single spaces. Words and spans meet by document and bucket
+    of offsets, so a very long document is not one join key.
+    """
+    named = lambda label, p: F.transform(X.matches(F.col("text"), p), lambda m: F.struct(F.lit(label).alias("label"), m["start"].alias("start"), m["end"].alias("end")))
+    found = docs.withColumn("spans", F.concat(*(named(k, p) for k, p in patterns.items()))).where(F.size("spans") > 0)
+    over = lambda a, b: F.explode(F.sequence(F.floor(a / bucket), F.floor(b / bucket))).alias("bucket")
+    spans = found.select("doc_id", F.inline("spans")).select("*", over(F.col("start"), F.col("end") - 1))
+    w = found.select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    stop = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - 1
+    w = w.withColumn("w_end", stop).withColumn("w_start", F.col("w_end") - F.length("w"))
+    w = w.select("doc_id", "pos", "w_start", "w_end", over(F.col("w_start"), F.col("w_end")))
+    touching = spans.join(w, ["doc_id", "bucket"]).where("w_start < end AND w_end > start")
+    return touching.groupBy("doc_id", "label", "start", "end").agg(L(F.min("pos")).alias("first"), L(F.max("pos")).alias("last"))
+
+
+def span_alignment(s, d):
+    return aligned_spans(table(s, d, "documents").select("doc_id", "text"), PATTERNS)
+
+
 def token_alignment(s, d):
-    """First and last word of short documents that the characters 20 to 60 touch."""
+    """First and last word of short documents that the characters 20 to 60 touch, as the query's SQL has it; ``span_alignment`` takes all."""
     w = table(s, d, "documents").where("n_chars between 80 and 1500").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     end = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     t = w.withColumn("end", end).withColumn("start", F.col("end") - F.length("w"))
@@ -202,10 +225,19 @@ def distance_from_score(s, d):
     return VQ.knn_cosine(s, d).select("query_id", "vec_id", F.round(1 / (1 + F.col("score")), 6).alias("distance"))
 
 
-def quad_boxes(s, d):
-    """Hull of four corners made of an order's values, relative to width and height."""
+def _hulls(lines, *keys: str):
+    """Hull of four corners made of a line's values, relative to width and height."""
     xs, ys = F.array("l_quantity", F.col("l_quantity") + 7), F.array(F.col("l_linenumber") * 2.0, F.col("l_linenumber") * 2.0 + 3)
-    return table(s, d, "lineitem").where("l_linenumber = 1").select("l_orderkey", F.round(F.array_min(xs) / 100, 6).alias("x1"), F.round(F.array_max(xs) / 100, 6).alias("x2"), F.round(F.array_min(ys) / 50, 6).alias("y1"), F.round(F.array_max(ys) / 50, 6).alias("y2"), F.round(F.coalesce(F.nullif(F.col("l_quantity"), F.lit(1.0)), F.lit(2.5)) / 5, 6).alias("scaled"))
+    return lines.select(*keys, F.round(F.array_min(xs) / 100, 6).alias("x1"), F.round(F.array_max(xs) / 100, 6).alias("x2"), F.round(F.array_min(ys) / 50, 6).alias("y1"), F.round(F.array_max(ys) / 50, 6).alias("y2"), F.round(F.coalesce(F.nullif(F.col("l_quantity"), F.lit(1.0)), F.lit(2.5)) / 5, 6).alias("scaled"))
+
+
+def quad_boxes(s, d):
+    """The hulls of the first lines, as the query's SQL has it; ``quad_boxes_lines`` has all."""
+    return _hulls(table(s, d, "lineitem").where("l_linenumber = 1"), "l_orderkey")
+
+
+def quad_boxes_lines(s, d):
+    return _hulls(table(s, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
 def entity_markdown(s, d):
@@ -353,6 +385,8 @@ QUERIES = {
     "safety_verdict": (safety_verdict, "SELECT conv_id, turn, turn % 3 = 2 AS unsafe FROM conversations"),
     "rerank_score_lookup": (score_lookup, LOOKUP_SQL),
     "rerank_rank_merge": (rank_merge, MERGE_SQL),
+    "span_alignment": (span_alignment, None),
+    "quad_boxes_lines": (quad_boxes_lines, None),
     "token_alignment": (token_alignment, ALIGN_SQL),
     "relation_rows": (relation_rows, "SELECT n_name AS head, r_name AS tail, round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) AS score, row_number() OVER (PARTITION BY r_name ORDER BY round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) DESC, n_name) - 1 AS rank, r_regionkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AFRICA', 'AMERICA', 'ASIA')"),
     "placeholder_counts": (placeholder_counts, "SELECT lower(role) AS label, count(*) AS n FROM conversations GROUP BY 1"),
