@@ -25,6 +25,7 @@ def get_session(cores: str = "8", shuffle_partitions: int = 8) -> SparkSession:
         .config("spark.driver.memory", os.environ.get("VECTRAIL_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .getOrCreate()
     )
 
@@ -37,7 +38,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Only where the cluster names none, as in local tests, a temporary one is set.
+    Where none is named, a local session, as in tests, gets a temporary one; on a
+    cluster that raises, as executors would not see a folder of the driver's.
     """
     context = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
@@ -46,22 +48,39 @@ def shared_dir(spark: SparkSession) -> str:
             context.setCheckpointDir(named)
         return named
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the shared folder; survives lost executors."""
+    """``df`` computed once and kept in the shared folder; survives lost executors.
+
+    With ``spark.cleaner.referenceTracking.cleanCheckpoints`` Spark deletes it once
+    nothing refers to it.
+    """
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def _stored_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/stored-{spark.sparkContext.applicationId}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
     Columnar, so later readers take only the columns that they use.
+    ``clear_stored`` deletes what an application stored.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/stored-{uuid.uuid4().hex}"
+    path = f"{_stored_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_stored(spark: SparkSession) -> None:
+    """Deletes all that ``stored`` wrote in this application; frames that read it are of no use afterwards."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_stored_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
