@@ -177,7 +177,6 @@ def test_costs_are_balanced():
             first[fits[0]] += cost(k)
     mine = np.bincount([p[3] for p in pieces], [cost(p[2]) for p in pieces], n)[: len(first)]
     assert mine.std() < first.std() and mine.max() <= first.max()
-    assert sum(p[1] > 0 for p in pieces) < 0.25 * len(lengths)  # few documents are cut
 
 
 def simhash_slow(text):
