@@ -1,5 +1,6 @@
 """Sharding, language, packing, near-duplicates and toxicity."""
 
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -266,9 +267,56 @@ def test_toxicity_edges(spark):
     assert toxicity.score_toxicity(empty(spark), labels.limit(0)).count() == 0
 
 
-def test_offending_offsets():
-    texts = ["clean words of no harm here again"] * 40 + ["you are vile scumbag here again"] * 20
-    labels = np.array([0] * 40 + [1] * 20)
-    model = toxicity.train_chain(texts, labels)
-    _, chances = model.tag(["\U0001f600 you are vile scumbag here", "clean words"])
-    assert [k for k, c in enumerate(chances[0]) if c >= 0.5] == [0, 1, 2, 3] and not (chances[1] >= 0.5).any()
+def labelled_texts(spark):
+    clean = [f"clean words of no harm here again number{i}" for i in range(200)]
+    toxic = [f"you are vile scumbag here again number{i}" for i in range(100)]
+    docs = spark.createDataFrame(list(enumerate(clean + toxic)), "doc_id long, text string").repartition(3)
+    return docs, spark.createDataFrame([(i, int(i >= 200)) for i in range(300)], "doc_id long, toxic int")
+
+
+ODD = ["\u0130stanbul you are vile scumbag here", "\U0001f600 You ARE vile, scumbag", "\u0130\u0130 VILE", "clean words here", "", "vile " * 70]
+
+
+def test_scores_and_offsets_against_loops(spark):
+    docs, labels = labelled_texts(spark)
+    model = toxicity.train(docs, labels)
+    every = [r["text"] for r in docs.collect()] + ODD
+    frame = spark.createDataFrame([(1000 + i, t) for i, t in enumerate(ODD)], "doc_id long, text string").unionByName(docs)
+    got = {r["text"]: r for r in toxicity.predict(frame, model).join(frame, "doc_id").collect()}
+
+    def slow(text):
+        places = [(m.start(), m.end()) for m in re.finditer(r"\w+", text)]
+        chance = []
+        for at in range(0, len(places), 64):
+            odds = [model.bias + sum(model.weights.get(f, 0.0) for f in toxicity.features(text[a:b])) for a, b in places[at : at + 64]]
+            move = np.exp(model.transitions)
+            forward = [np.array([1.0, np.exp(odds[0])])]
+            for o in odds[1:]:
+                forward.append(forward[-1] @ move * np.array([1.0, np.exp(o)]))
+            back = [np.ones(2)]
+            for o in reversed(odds[1:]):
+                back.insert(0, move @ (back[0] * np.array([1.0, np.exp(o)])))
+            chance += [(f * b)[1] / (f * b).sum() for f, b in zip(forward, back, strict=True)]
+        # chains without any known feature do not count for the greatest chance
+        known = [k for k in range(len(places)) if any(model.weights.get(f) for a, b in places[k // 64 * 64 : k // 64 * 64 + 64] for f in toxicity.features(text[a:b]))]
+        x = np.array([1, np.log1p(sum(chance)), np.sqrt(sum(chance) / max(1, len(places))), max((chance[k] for k in known), default=0.0)])
+        return 1 / (1 + np.exp(-x @ model.document)), ",".join(f"{a}:{b}" for k, (a, b) in enumerate(places) if k in known and chance[k] >= 0.5)
+
+    for text in every:
+        score, spans = slow(text)
+        assert got[text]["score"] == pytest.approx(score, abs=1e-6) and got[text]["spans"] == spans
+        assert got[text]["predicted"] == int(score >= 0.3)
+    assert "17:21" in got[ODD[0]]["spans"] and "10:14" in got[ODD[1]]["spans"] and got[ODD[3]]["spans"] == ""
+
+
+def test_long_labelled_texts_are_learned_from(spark):
+    docs, labels = labelled_texts(spark)
+    tail = F.when(F.col("doc_id") >= 200, F.concat(F.repeat(F.lit("clean words of no harm "), 2500), F.col("text"))).otherwise(F.col("text"))
+    model = toxicity.train(docs.withColumn("text", tail), labels)
+    assert model.weights["=vile"] > 0.5
+    # counted chains weigh as much as chains that are there
+    part = docs.select((F.col("doc_id") >= 200).cast("int").alias("toxic"), tail.alias("text"))
+    names, strong = toxicity.feature_evidence(part)
+    chains = toxicity.cut_chains(part, names).toArrow()
+    n = sum(chains["length"].to_numpy() * chains["times"].to_numpy())
+    assert n == sum(len(re.findall(r"\w+", r["text"])) for r in part.collect()) and strong
