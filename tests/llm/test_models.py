@@ -54,47 +54,77 @@ def learned(spark, sample, **sizes):
     return langid.train(spark.createDataFrame(found, "doc_id long, text string, lang string").repartition(2), **sizes)
 
 
-def test_code_lengths_are_those_of_the_context_tree(spark):
+@pytest.mark.parametrize("share", [0.0, 0.05])
+def test_code_lengths_are_those_of_the_context_tree(spark, share):
     sample = [("x", b"abracadabra abra"), ("y", b"banana bandana"), ("x", b"cadabra"), ("y", b""), ("x", b"Z\xc3\xa9")]
-    model = learned(spark, sample, order=2, symbols=12)
-    symbol, symbols = model.coder.symbol, model.coder.symbols
+    model = learned(spark, sample, order=2, least_share=share)
 
     def slow(lang, text):
-        counts = defaultdict(Counter)
+        counts, total = defaultdict(Counter), 0
         for known, s in sample:
             if known == lang:
                 s = b"\n\n" + s.lower()
+                total += len(s) - 2
                 for i in range(2, len(s)):
                     for k in range(3):
-                        counts[tuple(symbol[b] for b in s[i - k : i])][symbol[s[i]]] += 1
+                        counts[s[i - k : i]][s[i]] += 1
+        counts = {c: {b: n for b, n in seen.items() if n >= share * total} for c, seen in counts.items()}
 
         def p(context, b):
-            seen = counts[context]
+            seen = counts.get(context, {})
             n, d = sum(seen.values()), len(seen)
-            if n and seen[b]:
+            if b in seen:
                 return seen[b] / (n + d)
-            lower = p(context[1:], b) if context else 1 / symbols
+            lower = p(context[1:], b) if context else 1 / 256
             return lower * d / (n + d) if n else lower
 
         s = b"\n\n" + text
-        return -sum(np.log2(p(tuple(symbol[b] for b in s[i - 2 : i]), symbol[s[i]])) for i in range(2, len(s)))
+        return -sum(np.log2(p(s[i - 2 : i], s[i])) for i in range(2, len(s)))
 
-    for text in (b"abra", b"bananas", b"zzz", b"a"):
-        assert model.bits([text])[0] == pytest.approx([slow("x", text), slow("y", text)], rel=1e-4)
+    for text in (b"abra", b"bananas", b"zzz", b"a", b"\xc3\xa9\xff"):
+        for _ in range(2):  # computed, then from the cache
+            assert model.bits([b"", text])[1] == pytest.approx([slow("x", text), slow("y", text)], rel=1e-4)
 
 
 def test_long_texts_are_scored_and_counted_in_blocks(spark, monkeypatch):
-    model = learned(spark, [("x", b"abracadabra"), ("y", b"banana")], order=3, symbols=8)
+    sample = [("x", b"abracadabra" * 40), ("y", b"banana" * 30)]
+    model = learned(spark, sample, order=3)
     text = b"abra banana cad" * 50
     whole = model.bits([text, b"", b"ban"])
     monkeypatch.setattr(langid, "BLOCK", 64)
     assert model.bits([text, b"", b"ban"]) == pytest.approx(whole, rel=1e-5)
 
     def counts(most):
-        parts = [codes for _, _, codes in model.coder.blocks([text, b"", b"ban"], most)]
-        return np.bincount(np.concatenate(parts), minlength=model.coder.size + 1)[:-1]
-
-    assert (counts(64) == counts(1 << 20)).all() and counts(64).sum() == len(text) + 3
+        return Counter(c for _, _, codes in langid.coded_blocks([text, b"", b"ban"], most) for c in codes.tolist())
+
+    assert counts(64) == counts(1 << 20) and sum(counts(64).values()) == len(text) + 3
+    monkeypatch.setattr(langid, "CACHE_BITS", 4)  # nearly every slot is fought for
+    small = langid.CodeLengths(dict(zip(model.langs, model.trees, strict=True)))
+    for _ in range(3):
+        assert small.bits([text, b"", b"ban"]) == pytest.approx(whole, rel=1e-5)
+
+
+CYRILLIC = {
+    "uk": "\u0456 \u0439\u043e\u0433\u043e \u0449\u043e \u0454 \u043d\u0430\u0439\u0431\u0456\u043b\u044c\u0448\u0435 \u043c\u0456\u0441\u0442\u043e \u0457\u0457 \u043a\u0440\u0430\u0457\u043d\u0430 \u0440\u0456\u043a \u0432\u0456\u043d",
+    "ru": "\u0438 \u0435\u0433\u043e \u0447\u0442\u043e \u044d\u0442\u043e \u0441\u0430\u043c\u044b\u0439 \u0433\u043e\u0440\u043e\u0434 \u0441\u0442\u0440\u0430\u043d\u0430 \u0433\u043e\u0434 \u043e\u043d \u0431\u044b\u043b \u043c\u044b",
+    "el": "\u03ba\u03b1\u03b9 \u03c4\u03bf \u03b7 \u03c0\u03cc\u03bb\u03b7 \u03b5\u03af\u03bd\u03b1\u03b9 \u03bc\u03b5\u03b3\u03ac\u03bb\u03b7 \u03c7\u03ce\u03c1\u03b1 \u03ad\u03c4\u03bf\u03c2",
+}
+
+
+def test_minority_languages_beside_a_large_latin_one(spark):
+    rng = np.random.default_rng(4)
+    draw = lambda words, n: " ".join(rng.choice(words, n))
+    found = [(i, prose(i, 200), "la") for i in range(600)]
+    for k, (lang, words) in enumerate(CYRILLIC.items()):
+        found += [(1000 * (k + 1) + i, draw(words.split(), 12), lang) for i in range(60)]
+    docs = spark.createDataFrame(found, "doc_id long, text string, lang string").repartition(3)
+    got = langid.identify(docs).join(docs, "doc_id").where("held_out AND lang != 'la'")
+    assert got.count() > 20 and got.where("lang != lang_pred").count() == 0
+    # four words are enough
+    short = [(k, draw(CYRILLIC[lang].split(), 4), lang) for k, lang in enumerate(["uk", "ru", "el"] * 10)]
+    got = langid.predict(spark.createDataFrame(short, "doc_id long, text string, lang string"), langid.train(docs)).collect()
+    right = sum(r["lang_pred"] == short[r["doc_id"]][2] for r in got)
+    assert right >= 28
 
 
 def test_language_accuracy_on_held_out(spark):
