@@ -260,10 +260,30 @@ def test_trie_pairs_against_all_pairs():
     assert got == want
 
 
+def test_classes_deal_out_all_bits():
+    for deal in simhash.DEALS:
+        masks = [m & (1 << 64) - 1 for m in simhash.classes(deal)]
+        assert sum(masks) == (1 << 64) - 1 and len(masks) == 5 and all(10 <= m.bit_count() <= 15 for m in masks)
+
+
+def test_a_large_group_of_near_copies(spark):
+    rng = np.random.default_rng(5)
+    centre = int(rng.integers(0, 1 << 62))
+    fps = {centre} | {centre ^ 1 << int(a) ^ 1 << int(b) ^ 1 << int(c) for a, b, c in rng.integers(0, 62, (3000, 3))}
+    far = [int(x) for x in rng.integers(0, 1 << 62, 300)]
+    frame = spark.createDataFrame([(f,) for f in {*fps, *far}], "fp long")
+    links = [tuple(r) for r in simhash.fingerprint_links(frame).collect()]
+    order = sorted(fps)
+    at = {f: i for i, f in enumerate(order)}
+    mine = union(len(order), [(at[a], at[b]) for a, b in links if a in at and b in at])
+    assert set(mine) == {0} and not any(a in far or b in far for a, b in links)
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 101), (101, 102), (102, 100), (200, 200)]
+    edges += [(3000, i) for i in range(3001, 4500)]  # a hub
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in (100, 101, 102)}}
+    assert got == {**{i: 0 for i in range(31)}, **{i: 100 for i in (100, 101, 102)}, **{i: 3000 for i in range(3000, 4500)}}
 
 
 def test_forward_backward_against_all_taggings():

@@ -9,9 +9,10 @@ spent more than the budget is dropped with all below it. The pairs at the leaves
 are the links. All pairs of nodes of one level are NumPy arrays, so many tries
 descend at once.
 
-Only distinct fingerprints take part. A trie with very many of them is split by a
-hash into parts, and every two parts meet in a task of their own. A task returns
-the links of its tries as stars (one edge for each fingerprint that is linked at
+Only distinct fingerprints take part. A trie with very many of them is rooted anew:
+its bits are dealt to five classes, of which one at least agrees in a linked pair,
+so each of its fingerprints goes to five tries, and so on until none is crowded;
+the work grows with the fingerprints, not with their square. A task returns the links of its tries as stars (one edge for each fingerprint that is linked at
 most), which connect what the links connect; the components of these edges are
 found in DataFrame operations.
 """
@@ -27,6 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.components import connected_components
+from vectrail.llm.skew import join_counted, without_counted
 from vectrail.session import checkpointed
 
 MAX_BITS = 4
@@ -34,8 +36,10 @@ SHINGLE = 4
 SEED = 42
 #: Widths of the blocks from the lowest bit up; pairs of MAX_BITS + 2 blocks agree.
 BLOCKS = (11, 11, 11, 11, 10, 10)
-#: Distinct fingerprints of one trie that a task joins; more are split.
+#: Distinct fingerprints of one trie that a task joins; one with more is rooted anew.
 TRIE_ROWS = 1024
+#: How bits are dealt to five classes at each further root: weights of the base-5 digits of a bit's number.
+DEALS = ((1, 0, 0), (0, 1, 0), (1, 1, 1), (1, 2, 3), (1, 4, 2), (2, 1, 3), (1, 3, 4), (3, 1, 1))
 #: Rows that a task joins at once, and pairs that it keeps at once.
 BLOCK_ROWS, BLOCK_PAIRS = 100_000, 500_000
 
@@ -153,17 +157,25 @@ def _settle(label: np.ndarray, i: np.ndarray, j: np.ndarray) -> None:
         np.minimum.at(label, np.maximum(a, b), np.minimum(a, b))
 
 
+def classes(deal: tuple[int, int, int]) -> list[int]:
+    """Masks (as signed longs) of the bits of each of the five classes."""
+    masks = [0] * (MAX_BITS + 1)
+    for bit in range(64):
+        digits = bit % 5, bit // 5 % 5, bit // 25
+        masks[sum(w * x for w, x in zip(deal, digits, strict=True)) % 5] |= 1 << bit
+    return [m - (1 << 64) if m >> 63 else m for m in masks]
+
+
 def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (trie, part, fp), sorted so; out: star edges (a, b)."""
+    """Rows (trie, fp), sorted so; out: star edges (a, b)."""
     held: list[np.ndarray] = []
 
     def links(rows: np.ndarray) -> pa.RecordBatch:
-        unit = rows[:2]
         new = np.ones(rows.shape[1], bool)
-        new[1:] = (unit[:, 1:] != unit[:, :-1]).any(0)
+        new[1:] = rows[0, 1:] != rows[0, :-1]
         starts = np.flatnonzero(new)
         ends = np.append(starts[1:], rows.shape[1])
-        fps = rows[2].view(np.uint64)
+        fps = rows[1].view(np.uint64)
         # the sort was of signed values
         order = np.lexsort((fps, np.cumsum(new)))
         fps = fps[order]
@@ -181,7 +193,7 @@ def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if size < BLOCK_ROWS:
             continue
         rows = np.concatenate(held, axis=1)
-        last = int((rows[:2] != rows[:2, -1:]).any(0).nonzero()[0].max(initial=-1)) + 1  # the last trie may go on
+        last = int((rows[0] != rows[0, -1]).nonzero()[0].max(initial=-1)) + 1  # the last trie may go on
         if last:
             yield links(rows[:, :last])
         held, size = [rows[:, last:]], rows.shape[1] - last
@@ -191,74 +203,61 @@ def _join_tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fingerprint_links(distinct: DataFrame) -> DataFrame:
     """Edges (a, b) that connect the fingerprints ``fp`` of ``distinct`` as all their links do."""
-    keyed = distinct.select(F.explode(_tries(F.col("fp"))).alias("trie"), "fp")
-    crowded = (
-        keyed.groupBy("trie")
-        .agg(F.count("*").alias("n"))
-        .where(F.col("n") > TRIE_ROWS)
-        .select("trie", F.ceil(F.col("n") / TRIE_ROWS).cast("int").alias("parts"))
-    )
-    mine = F.pmod(F.xxhash64("fp", F.lit(9)), F.col("parts")).cast("int")
-    pairs = F.transform(
-        F.filter(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: k != F.col("mine")),
-        lambda k: F.least(k, F.col("mine")).cast("long") * (1 << 31) + F.greatest(k, F.col("mine")),
-    )
-    units = (
-        keyed.join(crowded, "trie", "left")
-        .withColumn("mine", mine)
-        .withColumn("part", F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(pairs)))
-        .select("trie", "part", "fp")
-    )
-    return (
-        units.repartition("trie", "part")
-        .sortWithinPartitions("trie", "part", "fp")
-        .mapInArrow(_join_tries, "a long, b long")
-        .distinct()
-    )
-
-
-def label_fingerprints(hashed: DataFrame) -> DataFrame:
-    """(fp, root, component_id) of the distinct ``fp`` of ``hashed`` (doc_id, fp)."""
-    distinct = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
+    units = distinct.select(F.explode(_tries(F.col("fp"))).alias("trie"), "fp")
+    rows, done = (MAX_BITS + 2) * (MAX_BITS + 1) // 2 * distinct.count(), []
+    for deal in DEALS:
+        crowded = checkpointed(units.groupBy("trie").agg(F.count("*").alias("n")).where(F.col("n") > TRIE_ROWS))
+        over = crowded.agg(F.sum("n")).first()[0]
+        if not over:
+            break
+        done.append(without_counted(units, crowded, "trie", rows))
+        # equal hashes of unlike tries only add pairs to look at
+        roots = F.array(*(F.xxhash64("trie", F.lit(mask), F.col("fp").bitwiseAND(F.lit(mask))) for mask in classes(deal)))
+        units = checkpointed(join_counted(units, crowded, "trie", rows).select(F.explode(roots).alias("trie"), "fp"))
+        rows = over * (MAX_BITS + 1)
+    for part in done:
+        units = units.unionByName(part)
+    return units.repartition("trie").sortWithinPartitions("trie", "fp").mapInArrow(_join_tries, "a long, b long").distinct()
+
+
+def label_fingerprints(distinct: DataFrame) -> DataFrame:
+    """``distinct`` (fp, ...), checkpointed, with ``root``, the smallest fingerprint that links reach."""
     roots = connected_components(fingerprint_links(distinct.select("fp")))
-    rooted = checkpointed(
-        distinct.join(roots, distinct["fp"] == roots["node"], "left").select(
-            "fp", "first_id", F.coalesce("root", "fp").alias("root")
-        )
-    )
-    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return rooted.join(smallest, "root").select("fp", "root", "component_id")
+    return distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id that links reach; null ids are passed
-    over, and it is null where a component has no other. Null and blank texts
-    have fingerprint zero and link like any other. Repeated rows are returned each.
+    over, and it is null where a component has no other. Null, empty and blank texts
+    have fingerprint zero and link like any other; very long texts count whole.
+    Repeated rows are returned each; an empty table gives none. Further columns,
+    whatever their names, are not read.
     """
     hashed = checkpointed(docs.select("doc_id", fingerprints(F.col("text")).alias("fp")))
-    return hashed.join(label_fingerprints(hashed), "fp").select(
-        "doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id"
-    )
+    distinct = checkpointed(hashed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")))
+    rooted = checkpointed(label_fingerprints(distinct))
+    smallest = rooted.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n"))
+    counted = rooted.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    labels = checkpointed(join_counted(rooted.select("root", "fp", F.col("n").alias("copies")), smallest, "root", counted[0]))
+    labels = labels.select("fp", "component_id", F.col("copies").alias("n"))
+    return join_counted(hashed, labels, "fp", counted[1]).select("doc_id", as_hex(F.col("fp")).alias("fingerprint"), "component_id")
 
 
 def keep_one_each(docs: DataFrame) -> DataFrame:
     """One row of ``docs`` for each component: of its smallest doc_id, then of the least text hash.
 
-    Null ids come after all others. Where equal rows repeat, one stays. Columns as
-    they were.
+    Null ids come after all others. Null, empty and blank texts are one component.
+    Where equal rows repeat, one stays; an empty table stays empty. Columns, further
+    ones too, as they were.
     """
     names = docs.columns
     body = F.coalesce(F.col("text"), F.lit(""))
     # 128 bits that name a row's id and text
     keys = {"row_key_1": F.xxhash64("doc_id", body), "row_key_2": F.xxhash64(body, "doc_id", F.lit("row"))}
-    hashed = checkpointed(docs.select("doc_id", *(k.alias(n) for n, k in keys.items()), fingerprints(F.col("text")).alias("fp")))
-    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row_key_1", "row_key_2")
-    chosen = (
-        hashed.join(label_fingerprints(hashed.select("doc_id", "fp")), "fp")
-        .groupBy("root")
-        .agg(F.min(first).alias("first"))
-        .select("first.row_key_1", "first.row_key_2")
-    )
+    first = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *(k.alias(n) for n, k in keys.items()))
+    hashed = docs.select(fingerprints(F.col("text")).alias("fp"), first.alias("first"))
+    distinct = checkpointed(hashed.groupBy("fp").agg(F.min("first").alias("first")))
+    chosen = label_fingerprints(distinct).groupBy("root").agg(F.min("first").alias("first")).select("first.row_key_1", "first.row_key_2")
     return docs.withColumns(keys).join(chosen, list(keys), "left_semi").dropDuplicates(list(keys)).select(*names)
