@@ -291,3 +291,26 @@ def test_segments_end_at_sentences_and_after_their_span(spark):
     docs = spark.createDataFrame([(1, "a b. c d e"), (2, " ".join("x" * 130)), (3, None), (4, " ")], "doc_id long, text string")
     got = sorted((r["doc_id"], r["segment"], r["start"], r["end"], r["n_words"]) for r in segments(docs).collect())
     assert got == [(1, 0, 0.0, 1.0, 2), (1, 1, 1.0, 2.5, 3), (2, 0, 0.0, 30.0, 60), (2, 1, 30.0, 60.0, 60), (2, 2, 60.0, 65.0, 10)]
+
+
+def test_places_joins_and_replacements_of_many_matches(spark):
+    texts = ["", "abc", "a1b22c333", "9 " * 1000 + "x", "ab12 \U0001f600 3" * 700, None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "i int, t string").withColumn("m", X.matches(F.col("t"), "[0-9]+"))
+    wider = F.transform("m", lambda m, i: F.struct(m["start"], (m["end"] + F.when(i % 3 == 0, 2).otherwise(0)).alias("end"), m["match"]))
+    frame = frame.withColumn("j", X.joined_spans(wider, X.MATCH))
+    for r in frame.withColumn("r", X.replaced(F.col("t"), F.col("j"), lambda x: F.concat(F.lit("<"), x["match"], F.lit(">")))).collect():
+        if r["t"] is None:
+            assert (r["m"], r["j"], r["r"]) == ([], [], None)
+            continue
+        want = [(m.start(), m.end(), m[0]) for m in re.finditer("[0-9]+", r["t"])]
+        assert [tuple(x) for x in r["m"]] == want
+        joined, out, at = [], "", 0
+        for i, (a, b, c) in enumerate(want):
+            b += 2 * (i % 3 == 0)
+            if joined and a < joined[-1][1]:
+                joined[-1][1] = max(b, joined[-1][1])
+            else:
+                joined.append([a, b, c])
+        for a, b, c in joined:
+            out, at = out + r["t"][at:a] + f"<{c}>", b
+        assert [list(x) for x in r["j"]] == joined and r["r"] == out + r["t"][at:]

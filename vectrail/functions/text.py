@@ -113,19 +113,94 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
+#: Elements that ``running`` folds at once.
+RUN = 256
+
+
+def running(items: Column, start: Column, step, out, kind: str) -> Column:
+    """``out(state, x)`` (of type ``kind``) of each element ``x`` with the state before it; ``step(state, x)`` gives the next.
+
+    An array that grows in a fold is copied at each step, so elements are folded in
+    runs: states at the runs' beginnings first, then each run by itself. The time
+    grows with the elements, not with their square.
+    """
+    none = F.array().cast(f"array<{kind}>")
+
+    def fold(begin: Column, run: Column) -> Column:
+        grow = lambda acc, x: F.struct(step(acc["s"], x).alias("s"), F.concat(acc["o"], F.array(out(acc["s"], x).cast(kind))).alias("o"))
+        return F.aggregate(run, F.struct(begin.alias("s"), none.alias("o")), grow, lambda acc: acc["o"])
+
+    def begins(runs: Column) -> Column:
+        grow = lambda acc, run: F.struct(F.aggregate(run, acc["s"], step).alias("s"), F.concat(acc["o"], F.array(acc["s"])).alias("o"))
+        return F.aggregate(runs, F.struct(start.alias("s"), F.slice(F.array(start), 1, 0).alias("o")), grow, lambda acc: acc["o"])
+
+    def cut(whole: Column) -> Column:
+        at = F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / RUN).cast("int"))
+        return F.transform(at, lambda i: F.slice(whole, i * RUN + 1, F.lit(RUN)))
+
+    # elements of arrays of one are bound once
+    in_runs = F.transform(F.array(items), lambda whole: F.when(F.size(whole) > 0, cut(whole)))
+    folded = F.transform(in_runs, lambda runs: F.flatten(F.zip_with(begins(runs), runs, fold)))
+    return F.coalesce(F.get(folded, F.lit(0)), none)
+
+
+MATCH = "struct<start:long,end:long,match:string>"
+
+
+def placed(found: Column, pieces: Column) -> Column:
+    """(start, end, match) of the matches ``found`` in a text that ``pieces`` are left of when it is split at them."""
+    pairs = F.zip_with(found, F.slice(pieces, 1, F.size(found)), lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
+
+    def span(at: Column, x: Column) -> Column:
+        begin = at + x["gap"]
+        return F.struct(begin.alias("start"), (begin + F.length(x["m"])).alias("end"), x["m"].alias("match"))
+
+    return running(pairs, F.lit(0).cast("long"), lambda at, x: at + x["gap"] + F.length(x["m"]), span, MATCH)
+
+
 def matches(text: Column, pattern: str) -> Column:
     """(start, end, match) of every match, leftmost, without overlap; the pattern must not match the empty text.
 
     The text is split at the matches; the lengths of the pieces and the matches give the offsets.
     """
-    found, pieces = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
-    pairs = F.zip_with(found, pieces, lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<struct<start:long,end:long,match:string>>").alias("spans"))
+    return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+
+
+def joined_spans(spans: Column, kind: str) -> Column:
+    """``spans`` (of type ``kind``, with start and end, sorted by start): those that overlap as one, the first's fields to the last end."""
+    before = running(
+        spans, F.lit(0).cast("long"), lambda end, x: F.greatest(end, x["end"]), lambda end, x: F.struct(x.alias("s"), end.alias("before")),
+        f"struct<s:{kind},before:long>",
+    )
+
+    def join(rows: Column) -> Column:
+        last = F.array_max(F.transform(rows, lambda x: x["s"]["end"]))
+        first = F.filter(rows, lambda x: x["s"]["start"] >= x["before"])
+        ends = lambda f: F.transform(f, lambda x, i: x["s"].withField("end", F.coalesce(F.get(f, i + 1)["before"], last)))
+        return F.flatten(F.transform(F.array(first), ends))
+
+    return F.flatten(F.transform(F.array(before), join))
+
+
+def replaced(text: Column, spans: Column, mark) -> Column:
+    """The text with each of ``spans`` (sorted, without overlap) replaced by ``mark(span)``.
+
+    A text is cut into stretches of ``RUN`` spans first, so a span's place is not
+    looked for from the beginning of a long text.
+    """
+
+    def stretch(runs: Column, run: Column, k: Column) -> Column:
+        begin = F.when(k > 0, F.element_at(F.get(runs, k - 1), -1)["end"]).otherwise(F.lit(0))
+        body = F.substr(text, (begin + 1).cast("int"), (F.element_at(run, -1)["end"] - begin).cast("int"))
+
+        def part(s: Column, i: Column) -> Column:
+            at = F.when(i > 0, F.get(run, i - 1)["end"]).otherwise(begin)
+            return lambda b: F.concat(F.substr(b, (at - begin + 1).cast("int"), (s["start"] - at).cast("int")), mark(s))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["gap"]
-        end = begin + F.length(x["m"])
-        span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+        return F.array_join(F.flatten(F.transform(F.array(body), lambda b: F.transform(run, lambda s, i: part(s, i)(b)))), "")
 
-    return F.aggregate(F.filter(pairs, lambda x: x["m"].isNotNull()), start, step, lambda acc: acc["spans"])
+    at = lambda whole: F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / RUN).cast("int"))
+    in_runs = F.transform(F.array(spans), lambda whole: F.transform(at(whole), lambda i: F.slice(whole, i * RUN + 1, F.lit(RUN))))
+    done = F.transform(in_runs, lambda runs: F.array_join(F.transform(runs, lambda run, k: stretch(runs, run, k)), ""))
+    tail = F.substr(text, (F.element_at(spans, -1)["end"] + 1).cast("int"), F.length(text))
+    return F.when(F.size(spans) > 0, F.concat(F.get(done, F.lit(0)), tail)).otherwise(text)

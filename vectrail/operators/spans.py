@@ -34,15 +34,8 @@ def redact(text: Column, spans: Column) -> Column:
         F.filter(marks, lambda m: F.startswith(m, F.concat(s["label"], F.lit("\x00"))))
     )
     number = lambda s: F.array_position(of_label(s), F.concat(s["label"], F.lit("\x00"), s["text"]))
-    start = F.struct(F.lit("").alias("out"), F.lit(0).cast("bigint").alias("at"))
-
-    def step(acc: Column, s: Column) -> Column:
-        gap = F.substr(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        mark = F.concat(F.lit("["), F.upper(s["label"]), F.lit("_"), number(s).cast("string"), F.lit("]"))
-        return F.struct(F.concat(acc["out"], gap, mark).alias("out"), s["end"].alias("at"))
-
-    done = F.aggregate(spans, start, step)
-    return F.concat(done["out"], F.substr(text, (done["at"] + 1).cast("int"), F.length(text)))
+    mark = lambda s: F.concat(F.lit("["), F.upper(s["label"]), F.lit("_"), number(s).cast("string"), F.lit("]"))
+    return X.replaced(text, spans, mark)
 
 
 def regex_spans(text: Column, patterns: dict[str, str]) -> Column:
