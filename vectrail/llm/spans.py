@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vectrail.functions import text as X
+
 #: A match: code points, end exclusive.
-SPANS = "array<struct<start:long,end:long,match:string>>"
+SPANS = f"array<{X.MATCH}>"
 
 
 def with_spans(df: DataFrame, text: str, patterns: dict[str, str], only_if: dict[str, Column] | None = None) -> DataFrame:
@@ -28,26 +30,13 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str], only_if: dict
             wanted = wanted & only_if[name]
         return F.when(wanted, all_of).otherwise(none)
 
-    def offsets(name: str) -> Column:
-        pairs = F.zip_with(held[name], cut[name], lambda m, p: F.struct(m.alias("m"), F.length(p).alias("gap")))
-        start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans"))
-
-        def step(acc: Column, x: Column) -> Column:
-            begin = acc["at"] + x["gap"]
-            end = begin + F.length(x["m"])
-            span = F.struct(begin.alias("start"), end.alias("end"), x["m"].alias("match"))
-            return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
-
-        whole = F.slice(pairs, 1, F.size(held[name]))
-        return F.when(F.size(held[name]) > 0, F.aggregate(whole, start, step, lambda acc: acc["spans"])).otherwise(
-            F.array().cast(SPANS)
-        )
-
     df = df.withColumns({held[n]: found(n, p) for n, p in patterns.items()})
     df = df.withColumns(
         {cut[n]: F.when(F.size(held[n]) > 0, F.split(text, p, -1)).otherwise(none) for n, p in patterns.items()}
     )
-    return df.withColumns({n: offsets(n) for n in patterns}).drop(*held.values(), *cut.values())
+    nothing = F.array().cast(SPANS)
+    offsets = {n: F.when(F.size(held[n]) > 0, X.placed(F.col(held[n]), F.col(cut[n]))).otherwise(nothing) for n in patterns}
+    return df.withColumns(offsets).drop(*held.values(), *cut.values())
 
 
 def listing(spans: Column) -> Column:
