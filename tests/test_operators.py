@@ -1,5 +1,7 @@
 """Edge cases of functions and operators."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -79,8 +81,6 @@ def test_redaction_prefers_the_better_span_and_shares_numbers(spark):
 
 
 def test_every_match_is_a_span_and_is_redacted(spark):
-    import re
-
     from vectrail.plans.span_queries import PATTERNS
 
     texts = [
@@ -105,8 +105,6 @@ def test_every_match_is_a_span_and_is_redacted(spark):
 
 
 def test_numbers_found_in_windows_are_those_of_one_pass(spark, sf_dir):
-    import re
-
     from vectrail.plans.text_queries import number_spans, windowed_spans
 
     def one_pass(rows):
@@ -139,8 +137,6 @@ def test_items_are_scored_over_all_vectors(spark, sf_dir):
 
 
 def test_spans_of_whole_documents_are_aligned(spark, sf_dir):
-    import re
-
     from vectrail.plans.more_queries import PATTERNS, aligned_spans
 
     made = ["ab 1234567", "  1234567  x a@b.com", "x (123456), 123456", "w " * 2000 + "123456 a@b.com", "1" * 30, "none", ""]
