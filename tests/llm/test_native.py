@@ -137,23 +137,32 @@ def jaccard(a, b):
     return sum((a & b).values()) / whole if whole else 1.0
 
 
-def expected_pairs():
-    order = sorted([(i is None, -(i or 0), (t or "").encode(), t or "") for i, t, *_ in rows()])
-    for k, (none, neg, _, t) in enumerate(order):
-        after = order[(k + 1) % len(order)][3]
+def hashed(spark, texts):
+    """Places of texts without an id: the upper 53 bits of Spark's hash."""
+    frame = spark.createDataFrame([(t,) for t in texts], "t string")
+    return {r["t"]: r["h"] for r in frame.selectExpr("t", "shiftrightunsigned(xxhash64(t), 11) AS h").collect()}
+
+
+def expected_pairs(spark):
+    place = hashed(spark, {t or "" for i, t, *_ in rows() if i is None})
+    order = sorted([(i is None, -(i or 0), place[t or ""] if i is None else 0, (t or "").encode(), t or "") for i, t, *_ in rows()])
+    for k, (none, neg, _, _, t) in enumerate(order):
+        after = order[(k + 1) % len(order)][4]
         h = len(t) // 2
         yield (None if none else -neg, len(t), sha(edit := t[: len(t) - h] + after[:h])), jaccard(t, edit), jaccard(t, after)
 
 
 def test_fingerprints(spark):
-    want = list(expected_pairs())
-    got = fingerprints.fingerprint_pairs(documents(spark), run_rows=9, samples=64).collect()
+    want = list(expected_pairs(spark))
+    got = fingerprints.fingerprint_pairs(documents(spark), run_rows=9).collect()  # as registered, 32 draws
     key = lambda r: (r["doc_id"], r["n_chars"], r["edited_sha256"])
     assert Counter(map(key, got)) == Counter(w[0] for w in want)
     near = {w[0]: w[1:] for w in want}
     off = [(r["near_edited"] - near[key(r)][0], r["near_next"] - near[key(r)][1]) for r in got]
     for side in zip(*off, strict=True):
-        assert abs(sum(side) / len(side)) < 0.04 and max(map(abs, side)) < 0.35
+        assert abs(sum(side) / len(side)) < 0.04 and max(map(abs, side)) < 0.45
+        # the standard error is 0.088 at most; these texts share words, so their errors are not independent
+        assert (sum(x * x for x in side) / len(side)) ** 0.5 < 0.12
     by_id = {}
     for r in got:
         by_id.setdefault(r["doc_id"], r["fingerprint"])
@@ -161,6 +170,16 @@ def test_fingerprints(spark):
     assert fingerprints.fingerprint_pairs(empty(spark)).count() == 0
 
 
+def test_documents_without_ids_are_dealt_to_runs(spark):
+    texts = [f"text number {i} of none" for i in range(200)]
+    docs = spark.createDataFrame([(None, t) for t in texts] + [(1, "one"), (2, "two")], "doc_id long, text string")
+    placed = fingerprints.with_next(docs, 10).where("NOT ghost").collect()
+    assert len({r["run"] for r in placed}) > 10 and len(placed) == 202
+    place = hashed(spark, texts)
+    order = ["two", "one", *sorted(texts, key=place.get)]
+    assert {r["text"]: r["next_text"] for r in placed} == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprints.fingerprint_pairs(documents(spark, [(1, "a b c d", None, None)])).first()
     assert (r["near_next"], r["edited_sha256"]) == (1.0, sha("a b a b"))

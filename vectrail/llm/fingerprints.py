@@ -22,8 +22,10 @@ from vectrail.llm.text import words
 SAMPLES = 32
 #: Bits of a sample's id in the signature: 4 hex digits a draw.
 ID_BITS = 16
-#: Rows of a run of neighbouring documents, and the most runs there are.
-RUN_ROWS, MOST_RUNS = 128, 1 << 16
+#: Rows of a run of neighbouring documents, at least, and the number of runs from which runs
+#: grow instead: a run is sorted, with spills, and read in order, so its rows are not held at
+#: once, and what is broadcast of the runs is 24 bytes each.
+RUN_ROWS, MOST_RUNS = 128, 1 << 20
 ANCHORS = 200
 
 
@@ -99,29 +101,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(same)
 
 
+def _unnamed(doc_id: Column, text: Column) -> Column:
+    """The place of a document without an id, by a hash of its text in [0, 1); null for others."""
+    part = F.shiftrightunsigned(F.xxhash64(text), 11).cast("double") / float(1 << 53)
+    return F.when(doc_id.isNull(), part)
+
+
 def _runs(docs: DataFrame, run_rows: int) -> Column:
-    """Number of the run of neighbouring doc_ids that a row is in, ascending with doc_id; -1 without one.
+    """Number of the run of neighbouring documents that a row is in, from the last in order up.
 
-    Approximate quantiles of doc_id, a fixed number of them, are cut into equal steps.
+    Approximate quantiles of doc_id, a fixed number of them, are cut into equal
+    steps, 0 and up. Documents without an id are dealt by ``unnamed`` to runs below 0.
     """
     shares = [i / ANCHORS for i in range(ANCHORS + 1)]
     seen = docs.agg(
-        F.count("doc_id").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
+        F.count("doc_id").alias("n"), F.count("*").alias("rows"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"),
         F.percentile_approx("doc_id", shares, 10_000).alias("anchors"),
     ).first()
+    none = max(1, round(min((seen["rows"] - seen["n"]) / run_rows, MOST_RUNS)))
+    unnamed = -1 - F.floor(F.col("unnamed") * none)
     if not seen["n"]:
-        return F.lit(-1).cast("long")
+        return unnamed.cast("long")
     anchors = sorted({seen["low"], seen["high"], *seen["anchors"]})
     pieces = len(anchors) - 1
     if not pieces:
-        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long")
+        return F.when(F.col("doc_id").isNull(), unnamed).otherwise(0).cast("long")
     steps = max(1, round(min(seen["n"] / run_rows, MOST_RUNS) / pieces))
     at = F.array(*map(F.lit, anchors))
     piece = F.least(F.lit(pieces), F.size(F.filter(at, lambda a: a <= F.col("doc_id"))))
     low, high = F.get(at, piece - 1), F.get(at, piece)
     within = (F.col("doc_id") - low).cast("double") / (high - low).cast("double")
     step = F.least(F.lit(steps - 1), F.floor(within * steps))
-    return F.when(F.col("doc_id").isNull(), -1).otherwise((piece - 1) * steps + step).cast("long")
+    return F.when(F.col("doc_id").isNull(), unnamed).otherwise((piece - 1) * steps + step).cast("long")
 
 
 def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
@@ -129,23 +140,23 @@ def with_next(docs: DataFrame, run_rows: int = RUN_ROWS) -> DataFrame:
 
     Documents are dealt to runs of neighbouring ids. The first document of each
     run is copied to the end of the run before it, as a ghost, so every document
-    finds the next one within its run: texts are shuffled once. Null ids come last
-    and are one run; rows that share an id are in order of their texts.
+    finds the next one within its run: texts are shuffled once. Documents without an
+    id come last, in order of a hash of their texts; rows that share an id are in
+    order of their texts.
     """
-    run = _runs(docs, run_rows)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), run.alias("run"))
-    firsts = docs.select("doc_id", run.alias("run")).groupBy("run").agg(F.max("doc_id").alias("first_id"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.withColumn("unnamed", _unnamed(F.col("doc_id"), F.col("text")))
+    rows = rows.withColumn("run", _runs(rows, run_rows))
+    firsts = rows.groupBy("run").agg(F.max("doc_id").alias("first_id"), F.min("unnamed").alias("first_unnamed"))
     order = Window.orderBy(F.desc("run"))  # one row a run
-    ends = firsts.withColumn(
-        "before", F.coalesce(F.lag("run").over(order), F.min("run").over(Window.partitionBy()))
-    ).select("first_id", "before")
-    ghosts = (
-        docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-        .join(F.broadcast(ends), F.col("doc_id").eqNullSafe(F.col("first_id")))
-        .select("doc_id", "text", F.col("before").alias("run"), F.lit(True).alias("ghost"))
+    ends = firsts.select(
+        "first_id", "first_unnamed", F.coalesce(F.lag("run").over(order), F.min("run").over(Window.partitionBy())).alias("before")
     )
+    # as many rows as there are runs
+    is_first = F.col("doc_id").eqNullSafe(F.col("first_id")) & F.col("unnamed").eqNullSafe(F.col("first_unnamed"))
+    ghosts = rows.drop("run").join(F.broadcast(ends), is_first).select("doc_id", "text", "unnamed", F.col("before").alias("run"), F.lit(True).alias("ghost"))
     both = rows.withColumn("ghost", F.lit(False)).unionByName(ghosts)
-    along = Window.partitionBy("run").orderBy("ghost", F.desc_nulls_last("doc_id"), "text")
+    along = Window.partitionBy("run").orderBy("ghost", F.desc_nulls_last("doc_id"), "unnamed", "text")
     return both.select(
         "run", F.row_number().over(along).alias("place"), "doc_id", "text", F.lead("text").over(along).alias("next_text"), "ghost"
     )
@@ -161,8 +172,10 @@ def fingerprint_pairs(docs: DataFrame, run_rows: int = RUN_ROWS, samples: int =
     """Signatures of each whole text and of its edited text, and likeness to the edited and to the next.
 
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited,
-    near_next; one row for each row of ``docs``. Null texts count as empty, and an
-    empty text's fingerprint is empty. In a table of one document it follows itself.
+    near_next; one row for each row of ``docs``, repeated ones included. Null texts
+    count as empty, and an empty text's fingerprint is empty; very long texts count
+    whole. In a table of one document it follows itself; an empty table gives no
+    rows. Further columns, whatever their names, are not read.
     """
     placed = with_next(docs, run_rows).withColumn("edited_text", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     keyed = placed.select(

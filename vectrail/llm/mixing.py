@@ -65,11 +65,14 @@ def mix_plan(
 
     ``whole`` is the number of whole repetitions, ``extra`` the words of a further
     one, ``taken`` = whole * size + extra. Null and empty texts have size 0 and
-    give nothing. A null source is a source, last in order. Rows that share a
-    doc_id are separate documents; their order is by size, and equal ones are
-    interchangeable. Documents of a null doc_id share one place in the order.
+    give nothing; very long ones are counted whole. A null source is a source, last
+    in order. Rows that share a doc_id are separate documents; their order is by
+    size, and equal ones are interchangeable. Documents without a doc_id are placed
+    by their texts. An empty table gives no rows; further columns are not read.
     """
-    key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("doc_id").cast("string")))
+    # a document without an id is placed by its text
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce("text", F.lit("")))))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), name))
     rows = checkpointed(
         docs.select(
             "doc_id",
@@ -115,7 +118,8 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS
 
     A document on a source's boundary gives its first words once; ``n_chars``
     follows. Documents of size 0 give nothing. Rows equal in id, source and text
-    are interchangeable: their repetitions are summed and come from one of them.
+    are interchangeable: their repetitions are summed and come from one of them. An
+    empty table stays empty; further columns are kept.
     """
     names = docs.columns
     body = F.coalesce(F.col("text"), F.lit(""))

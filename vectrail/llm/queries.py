@@ -85,7 +85,7 @@ WITH d AS (
   SELECT doc_id, source,
          CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
          len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
-         md5('17:' || CAST(doc_id AS VARCHAR)) AS k
+         md5('17:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS k
   FROM documents),
 s AS (SELECT source_key, sum(size)::BIGINT AS source_size FROM d GROUP BY source_key),
 r AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source_key) - 1) % 3 + 1)::INT]::DOUBLE AS w,
