@@ -7,17 +7,36 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import text as X
 
-#: A match: code points, end exclusive.
-SPANS = f"array<{X.MATCH}>"
+
+def _in_context(found: Column, pieces: Column, context: int) -> Column:
+    """As ``placed``, with up to ``context`` characters of the pieces on either side."""
+    n = F.size(found)
+    whole = F.transform(
+        F.zip_with(found, F.slice(pieces, 1, n), lambda m, p: F.struct(m.alias("m"), p.alias("p"))),
+        lambda x, i: F.struct(
+            x["m"].alias("m"), F.length(x["p"]).alias("gap"), F.right(x["p"], F.lit(context)).alias("before"),
+            F.left(F.get(pieces, i + 1), F.lit(context)).alias("after"),
+        ),
+    )
+
+    def span(at: Column, x: Column) -> Column:
+        begin = at + x["gap"]
+        return F.struct(begin.alias("start"), (begin + F.length(x["m"])).alias("end"), x["m"].alias("match"), x["before"], x["after"])
+
+    kind = "struct<start:long,end:long,match:string,before:string,after:string>"
+    return X.running(whole, F.lit(0).cast("long"), lambda at, x: at + x["gap"] + F.length(x["m"]), span, kind)
 
 
-def with_spans(df: DataFrame, text: str, patterns: dict[str, str], only_if: dict[str, Column] | None = None) -> DataFrame:
+def with_spans(
+    df: DataFrame, text: str, patterns: dict[str, str], only_if: dict[str, Column] | None = None, context: int = 0
+) -> DataFrame:
     """``df`` with a column for each entry of ``patterns`` (name to Java pattern) that holds its matches in order.
 
     Matches are leftmost and do not overlap; patterns must not match the empty
     text. ``only_if`` names rows in which a pattern is looked for; elsewhere, and in
     null texts, there are no matches. The text is split at the matches; the lengths
-    of the pieces and the matches give the offsets.
+    of the pieces and the matches give the offsets. With ``context`` each match has
+    ``before`` and ``after``: so many characters beside it, up to the next match.
     """
     held = {n: f"__match_{n}" for n in patterns}
     cut = {n: f"__piece_{n}" for n in patterns}
@@ -34,8 +53,9 @@ def with_spans(df: DataFrame, text: str, patterns: dict[str, str], only_if: dict
     df = df.withColumns(
         {cut[n]: F.when(F.size(held[n]) > 0, F.split(text, p, -1)).otherwise(none) for n, p in patterns.items()}
     )
-    nothing = F.array().cast(SPANS)
-    offsets = {n: F.when(F.size(held[n]) > 0, X.placed(F.col(held[n]), F.col(cut[n]))).otherwise(nothing) for n in patterns}
+    place = (lambda m, p: _in_context(m, p, context)) if context else X.placed
+    offsets = {n: F.when(F.size(held[n]) > 0, place(F.col(held[n]), F.col(cut[n]))) for n in patterns}
+    offsets = {n: F.coalesce(c, F.slice(place(F.array(F.lit("")), F.array(F.lit(""), F.lit(""))), 1, 0)) for n, c in offsets.items()}
     return df.withColumns(offsets).drop(*held.values(), *cut.values())
 
 
