@@ -134,7 +134,7 @@ def mix_documents(docs: DataFrame, weights=WEIGHTS, max_epochs: int = MAX_EPOCHS
         mix_plan(keyed, weights, max_epochs, seed, tuple(keys))
         .groupBy(*keys)
         .agg(
-            F.sum(F.col("whole") + ((F.col("extra") == F.col("size")) & (F.col("size") > 0)).cast("long")).alias("copies"),
+            F.sum(F.when(F.col("size") > 0, F.col("whole") + (F.col("extra") == F.col("size")).cast("long")).otherwise(0)).alias("copies"),
             F.coalesce(F.max(F.when(partial, F.col("extra"))), F.lit(0)).alias("first_words"),
         )
         .where((F.col("copies") > 0) | (F.col("first_words") > 0))
