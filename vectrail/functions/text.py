@@ -102,10 +102,16 @@ def without_thinking(text: Column, tag: str = "think") -> Column:
 
 
 def clock_minutes(text: Column) -> Column:
-    """Minute of the day of ``h:mm am/pm``; null if it is none."""
-    part = lambda k: F.regexp_extract(F.lower(text), r"(\d{1,2}):(\d{2})\s*([ap]m)", k)
-    hour = part(1).try_cast("int") % 12 + F.when(part(3) == "pm", 12).otherwise(0)
-    return F.when(part(3) != "", hour * 60 + part(2).try_cast("int"))
+    """Minute of the day of the first twelve-hour time in a text, such as ``7:05 pm``; null if there is none."""
+    found = F.regexp_extract(text, r"(?i)\b((?:0?[1-9]|1[0-2]):[0-5][0-9]) ?([AP])M\b", 0)
+    hours, minutes = F.split(F.regexp_replace(found, "[^0-9:]", ""), ":")[0], F.right(F.regexp_replace(found, "[^0-9]", ""), F.lit(2))
+    noon = F.when(F.upper(found).contains("P"), 720).otherwise(0)
+    return F.when(found != "", hours.try_cast("int") % 12 * 60 + minutes.try_cast("int") + noon)
+
+
+def distinct_paths(paths: Column, depth: int) -> Column:
+    """Paths (arrays of names) cut to ``depth`` names, each once, in order of its first place; empty ones left out."""
+    return F.array_distinct(F.filter(F.transform(paths, lambda p: F.slice(p, 1, depth)), lambda p: F.size(p) > 0))
 
 
 def first_number(text: Column) -> Column:

@@ -13,35 +13,78 @@ from vectrail.operators.tables import project_fields, upsert
 from vectrail.sources import readers
 
 OPERATIONS = ("encode", "extract", "generate")
+_NAME = re.compile(r"[A-Za-z0-9][A-Za-z0-9._-]*")
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_]{0,62}")
 
 
 def connection_name(uri: str) -> str:
-    """What stands between ``://`` and the first of ``/?#``; empty raises."""
-    scheme, mark, rest = uri.partition("://")
-    name = re.split(r"[/?#]", rest, maxsplit=1)[0]
-    if not mark or not scheme or not name:
+    """The authority of a connection's address, such as ``orders`` in ``postgres://orders/table``."""
+    address = urlsplit(uri)
+    if not (address.scheme and _NAME.fullmatch(address.netloc)):
         raise ValueError(f"no connection in {uri!r}")
-    return name
+    return address.netloc
 
 
 def schema_policy(connection_type: str, source_schema: str | None, sink_schema: str | None) -> tuple[str, str] | None:
-    """Both schemas or neither, for postgres only, as identifiers."""
-    if source_schema is None and sink_schema is None:
+    """The schemas of a postgres job, of which there are two or none, each a plain identifier."""
+    given = tuple(x for x in (source_schema, sink_schema) if x is not None)
+    if not given:
         return None
-    if not source_schema or not sink_schema:
-        raise ValueError("source and sink schema belong together")
-    if connection_type != "postgres":
-        raise ValueError("schemas are for postgres connections")
-    for name in (source_schema, sink_schema):
-        if not _IDENTIFIER.fullmatch(name):
-            raise ValueError(f"not an identifier: {name!r}")
-    return source_schema, sink_schema
+    problems = {
+        "a source schema needs a sink schema, and the other way round": len(given) == 1,
+        f"{connection_type} connections have no schemas": connection_type != "postgres",
+        "a schema is a plain identifier": not all(map(_IDENTIFIER.fullmatch, given)),
+    }
+    if found := [text for text, is_so in problems.items() if is_so]:
+        raise ValueError("; ".join(found))
+    return given
+
+
+def resolve_profile(profiles: dict[str, dict], name: str) -> dict:
+    """A named profile: one that ``extends`` another, which extends none, takes the fields it does not set from it.
+
+    A field that is set replaces the other's whole value, except ``adaptive``, whose own fields are merged.
+    """
+    own = profiles[name]
+    if not (base_name := own.get("extends")):
+        return dict(own)
+    base = profiles[base_name]
+    if base.get("extends"):
+        raise ValueError(f"{base_name} extends another profile itself")
+    found = {**base, **own, "adaptive": {**base.get("adaptive", {}), **own.get("adaptive", {})}}
+    return {k: v for k, v in found.items() if k != "extends" and not (k == "adaptive" and not v)}
+
+
+def request_options(profile: dict, request: dict) -> dict:
+    """The profile's ``runtime`` options, over which a request's own have their way; its ``profile`` key is none."""
+    return profile.get("runtime", {}) | {k: v for k, v in request.items() if k != "profile"}
+
+
+def join_path(base: str, *parts: str) -> str:
+    """A path below ``base``, which may be a folder or an address of a store; one slash between parts."""
+    return "/".join([base.rstrip("/"), *(p.strip("/") for p in parts if p.strip("/"))])
+
+
+def in_store(path: str) -> bool:
+    """Whether a path is in an object store that Spark reads by its scheme."""
+    return urlsplit(path).scheme in ("s3", "s3a", "gs", "abfs", "abfss")
+
+
+def write_csv(frames: list[DataFrame], path: str) -> None:
+    """Rows of all ``frames`` as CSV with a header: the sorted union of their columns, null where a frame lacks one."""
+    whole = frames[0]
+    for frame in frames[1:]:
+        whole = whole.unionByName(frame, allowMissingColumns=True)
+    whole.select(sorted(whole.columns)).write.option("header", True).csv(path)
 
 
 @dataclass
 class JobSpec:
-    """``source``: rows, or a path with a format; ``sink``: ``return``, ``inplace`` or a path."""
+    """``source``: rows, or a path with a format; ``sink``: ``return``, ``inplace`` or a path.
+
+    ``inplace`` writes a folder beside the source, as Spark cannot overwrite what it
+    reads. What is there already is replaced only with ``overwrite``.
+    """
 
     source: list | str
     operation: str
@@ -50,6 +93,7 @@ class JobSpec:
     options: dict = field(default_factory=dict)
     sink: str = "return"
     execution: str | None = None
+    overwrite: bool = False
 
     def build(self, spark: SparkSession) -> DataFrame:
         if self.operation not in OPERATIONS:
@@ -72,13 +116,12 @@ class JobSpec:
         if self.sink == "inplace":
             if isinstance(self.source, list):
                 raise ValueError("inline items have no place to write to")
-            # a folder beside the source, as Spark cannot overwrite what it reads
             path = self.source.rstrip("/") + ".enriched"
         else:
             path = self.sink
             if urlsplit(path).scheme:
                 connection_name(path)
-        out.write.mode("overwrite").parquet(path)
+        out.write.mode("overwrite" if self.overwrite else "errorifexists").parquet(path)
         return spark.read.parquet(path)
 
 

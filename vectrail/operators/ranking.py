@@ -63,3 +63,25 @@ def attach_scores(candidates: DataFrame, scores: DataFrame, on: list[str], score
     """Left join of rerank scores; a missing score counts as 0, best first."""
     joined = candidates.join(scores, on, "left").withColumn(score, F.coalesce(score, F.lit(0.0)))
     return joined.withColumn(rank, F.row_number().over(Window.partitionBy(on[0]).orderBy(F.desc(score), *on[1:])) - 1)
+
+
+#: Rows of one group that a scorer gets at once.
+SCORED_ROWS = 1024
+
+
+def grouped_scores(pairs: DataFrame, score, *, by: tuple[str, ...] = ("query", "query_id", "instruction"), item: str = "doc", place: str = "place") -> DataFrame:
+    """``pairs`` with a ``score`` of each, which ``score(key, items)`` gives for the items of one group at a time.
+
+    Rows of equal ``by`` columns are a group, nulls included; ``place`` numbers the
+    rows, and by it the input's order comes back. A group of very many rows is dealt
+    to calls of at most about ``SCORED_ROWS`` neighbouring places.
+    """
+    import pandas as pd
+
+    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(place)
+        return rows.drop(columns="__part").assign(score=[float(x) for x in score(key[: len(by)], rows[item].tolist())])
+
+    dealt = pairs.withColumn("__part", F.floor(F.col(place) / SCORED_ROWS))
+    fields = ", ".join(f"`{n}` {t}" for n, t in pairs.dtypes)
+    return dealt.groupBy(*by, "__part").applyInPandas(run, f"{fields}, score double")

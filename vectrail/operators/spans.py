@@ -71,6 +71,35 @@ def pack_paragraphs(text: Column, most: int) -> Column:
     return F.when(done["open"] == "", done["done"]).otherwise(F.concat(done["done"], F.array(done["open"])))
 
 
+def pack_clauses(text: Column, target: int = 900) -> Column:
+    """Passages of a contract of about ``target`` characters.
+
+    Paragraphs, or lines where there are fewer than three, are packed in order while
+    they fit, a blank line between them; a passage of over 1.6 times the target gives
+    pieces of the target's length until the rest is no longer than that.
+    """
+    kept = lambda parts: F.filter(F.transform(parts, lambda p: F.regexp_replace(p, r"^\s+|\s+$", "")), lambda p: p != "")
+    plain = F.replace(text, F.lit("\r\n"), F.lit("\n"))
+    paragraphs = kept(F.split(plain, r"\n\s*\n"))
+    blocks = F.when(F.size(paragraphs) < 3, kept(F.split(plain, "\n"))).otherwise(paragraphs)
+
+    def step(acc: Column, block: Column) -> Column:
+        full = (acc["open"] != "") & (F.length(acc["open"]) + F.length(block) + 2 > target)
+        done = F.when(full, F.concat(acc["done"], F.array(acc["open"]))).otherwise(acc["done"])
+        grown = F.when(full | (acc["open"] == ""), block).otherwise(F.concat(acc["open"], F.lit("\n\n"), block))
+        return F.struct(done.alias("done"), grown.alias("open"))
+
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
+    packed = F.aggregate(blocks, start, step, lambda acc: F.filter(F.concat(acc["done"], F.array(acc["open"])), lambda p: p != ""))
+
+    def cut(passage: Column) -> Column:
+        cuts = F.greatest(F.lit(0), F.ceil(F.length(passage) / target - 1.6)).cast("int")
+        piece = lambda i: F.substr(passage, i * target + 1, F.when(i < cuts, target).otherwise(F.length(passage)))
+        return F.transform(F.sequence(F.lit(0), cuts), piece)
+
+    return F.flatten(F.transform(packed, cut))
+
+
 def greedy_interval_match(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
     """One-to-one matches: predictions in order of start claim the unmatched gold span that they overlap most.
 

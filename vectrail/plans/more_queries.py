@@ -101,14 +101,14 @@ def span_alignment(s, d):
 
 
 def token_alignment(s, d):
-    """First and last word of short documents that the characters 20 to 60 touch, as the query's SQL has it; ``span_alignment`` takes all."""
-    w = table(s, d, "documents").where("n_chars between 80 and 1500").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
+    """First and last word of each document that the characters 20 to 60 touch; ``span_alignment`` aligns matches anywhere."""
+    w = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", " ")).alias("pos", "w"))
     end = F.sum(F.length("w") + 1).over(Window.partitionBy("doc_id").orderBy("pos")) - 1
     t = w.withColumn("end", end).withColumn("start", F.col("end") - F.length("w"))
     return t.where("start < 60 AND end > 20").groupBy("doc_id").agg(L(F.min("pos")).alias("first"), L(F.max("pos")).alias("last"))
 
 
-ALIGN_SQL = """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents WHERE n_chars BETWEEN 80 AND 1500),
+ALIGN_SQL = """WITH w AS (SELECT doc_id, unnest(string_split(text, ' ')) AS w, unnest(range(len(string_split(text, ' ')))) AS pos FROM documents),
 t AS (SELECT doc_id, pos, w, sum(length(w) + 1) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS e FROM w)
 SELECT doc_id, min(pos) AS first, max(pos) AS last FROM t WHERE e - length(w) < 60 AND e > 20 GROUP BY 1"""
 
@@ -232,8 +232,8 @@ def _hulls(lines, *keys: str):
 
 
 def quad_boxes(s, d):
-    """The hulls of the first lines, as the query's SQL has it; ``quad_boxes_lines`` has all."""
-    return _hulls(table(s, d, "lineitem").where("l_linenumber = 1"), "l_orderkey")
+    """The hull of every line."""
+    return quad_boxes_lines(s, d)
 
 
 def quad_boxes_lines(s, d):
@@ -377,6 +377,9 @@ def image_counts(s, d):
     return table(s, d, "lineitem").groupBy("l_returnflag").agg(F.sum(n).alias("n"))
 
 
+QUAD_SQL = "SELECT l_orderkey, l_linenumber, round(l_quantity / 100, 6) AS x1, round((l_quantity + 7) / 100, 6) AS x2, round(l_linenumber * 2.0::DOUBLE / 50, 6) AS y1, round((l_linenumber * 2.0::DOUBLE + 3) / 50, 6) AS y2, round(coalesce(nullif(l_quantity, 1.0), 2.5) / 5, 6) AS scaled FROM lineitem"
+
+
 QUERIES = {
     "trim_all": (trim_all, "SELECT p_partkey, p_brand AS brand, replace(p_name, ' ', '|') AS tokens FROM part"),
     "overflow_policy": (overflow_policy, "SELECT doc_id, CASE WHEN length(text) > 500 THEN 480 ELSE length(text) END::BIGINT AS n, length(text) > 500 AS cut FROM documents"),
@@ -386,7 +389,7 @@ QUERIES = {
     "rerank_score_lookup": (score_lookup, LOOKUP_SQL),
     "rerank_rank_merge": (rank_merge, MERGE_SQL),
     "span_alignment": (span_alignment, None),
-    "quad_boxes_lines": (quad_boxes_lines, None),
+    "quad_boxes_lines": (quad_boxes_lines, QUAD_SQL),
     "token_alignment": (token_alignment, ALIGN_SQL),
     "relation_rows": (relation_rows, "SELECT n_name AS head, r_name AS tail, round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) AS score, row_number() OVER (PARTITION BY r_name ORDER BY round(least(n_nationkey / 25.0::DOUBLE, 0.5), 6) DESC, n_name) - 1 AS rank, r_regionkey AS k FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('AFRICA', 'AMERICA', 'ASIA')"),
     "placeholder_counts": (placeholder_counts, "SELECT lower(role) AS label, count(*) AS n FROM conversations GROUP BY 1"),
@@ -402,7 +405,7 @@ QUERIES = {
     "pick_worker": (pick_worker, "SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY floor(c_acctbal / 1000), md5(c_custkey::VARCHAR), c_custkey) AS n FROM customer) WHERE n = 1"),
     "lru_candidate": (lru_candidate, "SELECT user_id FROM (SELECT user_id, max(ts) AS seen FROM events WHERE user_id % 5 <> 0 GROUP BY 1) ORDER BY seen, user_id LIMIT 1"),
     "distance_from_score": (distance_from_score, f"SELECT query_id, vec_id, round(1 / (1 + score), 6) AS distance FROM ({COS_SQL})"),
-    "quad_boxes": (quad_boxes, "SELECT l_orderkey, round(l_quantity / 100, 6) AS x1, round((l_quantity + 7) / 100, 6) AS x2, round(l_linenumber * 2.0::DOUBLE / 50, 6) AS y1, round((l_linenumber * 2.0::DOUBLE + 3) / 50, 6) AS y2, round(coalesce(nullif(l_quantity, 1.0), 2.5) / 5, 6) AS scaled FROM lineitem WHERE l_linenumber = 1"),
+    "quad_boxes": (quad_boxes, QUAD_SQL),
     "entity_markdown": (entity_markdown, MARKDOWN_SQL),
     "reading_order": (reading_order, "SELECT doc_id, instr(text, 'a') > 0 AND instr(text, 'e') > 0 AND instr(text, '.') > 0 AS found, instr(text, 'a') > 0 AND instr(text, 'e') > instr(text, 'a') AND instr(text, '.') > instr(text, 'e') AS ordered FROM documents"),
     "hash_floats": (hash_floats, "SELECT item_id, i, round(CAST('0x' || substr(sha256(item_id || ':' || i), 1, 8) AS BIGINT)::DOUBLE / 2147483648.0 - 1, 9) AS x FROM benchmark, range(4) t(i)"),

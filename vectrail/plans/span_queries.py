@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from vectrail.functions.records import json_scalars
 from vectrail.operators import backends, spans
 from vectrail.session import table
 from vectrail.streaming import streams
@@ -23,6 +24,15 @@ def paragraph_packs(s, d):
     return packs.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("pack").cast("long").alias("n_chars"), F.md5("pack").alias("digest"))
 
 
+def clause_packs(s, d):
+    packs = table(s, d, "documents").select("doc_id", F.posexplode(spans.pack_clauses(F.col("text"))).alias("pos", "pack"))
+    return packs.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("pack").cast("long").alias("n_chars"), F.md5("pack").alias("digest"))
+
+
+def json_scalar_sets(s, d):
+    return table(s, d, "events").select("event_id", F.array_join(json_scalars(F.col("props")), ",").alias("scalars"))
+
+
 def interval_matches(s, d):
     """Line quantities as predicted spans against the spans of the line before, within an order."""
     li = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("id"), F.col("l_quantity").alias("start"))
@@ -48,17 +58,17 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, it
 
 
 def stream_windowed_counts(s, d):
-    t = streams.drain(streams.windowed_counts(streams.events_stream(s, d)), "vectrail_windowed", "complete")
+    t = streams.drain(streams.windowed_counts(streams.events_stream(s, d)), "complete")
     return t.select(F.date_format("w.start", "yyyy-MM-dd").alias("day"), "event_type", "n", "total")
 
 
 def stream_sequence_gaps(s, d):
     e = streams.events_stream(s, d).withColumn("k", F.get_json_object("props", "$.k").cast("bigint"))
-    return streams.drain(streams.classify_sequence(e, "user_id", "k", "event_id"), "vectrail_sequence", "append").select(F.col("item").alias("event_id"), "kind")
+    return streams.drain(streams.classify_sequence(e, "user_id", "k", "event_id"), "append").select(F.col("item").alias("event_id"), "kind")
 
 
 def stream_token_bucket(s, d):
-    return streams.drain(streams.token_bucket(streams.events_stream(s, d), "user_id", "ts"), "vectrail_bucket", "append").select(F.col("key").alias("user_id"), "n", "passed")
+    return streams.drain(streams.token_bucket(streams.events_stream(s, d), "user_id", "ts"), "append").groupBy(F.col("key").alias("user_id")).agg(F.sum("n").alias("n"), F.sum("passed").alias("passed"))
 
 
 def _bucket_sql() -> str:
@@ -70,6 +80,8 @@ def _bucket_sql() -> str:
 QUERIES = {
     "redact_documents": (redact_documents, None),
     "paragraph_packs": (paragraph_packs, None),
+    "clause_packs": (clause_packs, None),
+    "json_scalar_sets": (json_scalar_sets, "SELECT event_id, lower(props::JSON->>'$.k') AS scalars FROM events"),
     "greedy_interval_matches": (interval_matches, None),
     "encode_outputs": (encode_outputs, "SELECT item_id, 64::BIGINT AS dims, len(list_distinct(list_transform(t, lambda x: CAST('0x' || substr(sha256(x), 63, 2) AS INT) % 64))) AS n_sparse, len(t) AS n_vectors FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM benchmark)"),
     "score_pairs": (score_pairs, SCORE_SQL),

@@ -76,10 +76,19 @@ def cart_totals(s, d):
 
 
 def multiset_equality(s, d):
-    o = table(s, d, "orders").select("o_orderstatus", "o_orderpriority")
-    again = o.orderBy("o_orderpriority")
-    odd = o.exceptAll(again).count() + again.exceptAll(o).count()
-    return o.agg(F.count("*").alias("n")).withColumn("equal", F.lit(odd == 0))
+    """Whether lists are equal as multisets: orders and the orders of lines; the customers of orders and all customers."""
+    o, c = table(s, d, "orders"), table(s, d, "customer")
+    lists = {
+        "orders_of_lines": (o.select(F.col("o_orderkey").alias("v")), table(s, d, "lineitem").select(F.col("l_orderkey").alias("v")).distinct()),
+        "orders_of_customers": (o.select(F.col("o_custkey").alias("v")), c.select(F.col("c_custkey").alias("v"))),
+    }
+    signed = None
+    for name, (a, b) in lists.items():
+        for side, n in ((a, 1), (b, -1)):
+            part = side.select(F.lit(name).alias("name"), "v", F.lit(n).cast("long").alias("n"))
+            signed = part if signed is None else signed.unionByName(part)
+    odd = signed.groupBy("name", "v").agg(F.sum("n").alias("n"))
+    return odd.groupBy("name").agg(F.sum((F.col("n") != 0).cast("long")).alias("n_odd"), (F.sum(F.abs("n")) == 0).alias("equal"))
 
 
 def top_counts(s, d):
@@ -335,6 +344,11 @@ def taxonomy_paths(s, d):
     return table(s, d, "part").select("p_partkey", F.element_at(p, -1).alias("leaf"), L(F.size(p)).alias("level"), F.coalesce(F.when(F.size(p) >= 2, F.array_join(F.slice(p, 1, 2), " > ")), F.lit("")).alias("prefix_2"))
 
 
+MULTISET_SQL = """WITH u AS (SELECT 'orders_of_lines' AS name, o_orderkey AS v, 1 AS n FROM orders UNION ALL SELECT DISTINCT 'orders_of_lines', l_orderkey, -1 FROM lineitem
+ UNION ALL SELECT 'orders_of_customers', o_custkey, 1 FROM orders UNION ALL SELECT 'orders_of_customers', c_custkey, -1 FROM customer),
+g AS (SELECT name, v, sum(n) AS n FROM u GROUP BY 1, 2) SELECT name, count(*) FILTER (n <> 0) AS n_odd, bool_and(n = 0) AS equal FROM g GROUP BY 1"""
+
+
 QUERIES = {
     "ilike_order_limit": (ilike_order_limit, "SELECT c_custkey, c_name, c_acctbal FROM customer WHERE c_name ILIKE '%00%' ORDER BY c_acctbal DESC, c_custkey LIMIT 20"),
     "filter_with_fallback": (filter_with_fallback, "SELECT c_custkey, c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND (contains(lower(c_name), 'zzz') OR NOT EXISTS (SELECT 1 FROM customer WHERE contains(lower(c_name), 'zzz') AND c_mktsegment = 'BUILDING'))"),
@@ -345,7 +359,7 @@ QUERIES = {
     "named_index_rows": (named_index, "SELECT p_partkey || '::' || kind AS id, body FROM (SELECT p_partkey, 'short' AS kind, p_brand AS body FROM part UNION ALL SELECT p_partkey, 'long', p_name FROM part) WHERE trim(body) <> ''"),
     "enrichment_merge": (enrichment_merge, "SELECT p_partkey, p_brand, coalesce(list_aggregate(list_transform(list_filter(string_split(p_name, ' '), lambda x: length(x) > 4), lambda x: upper(x)), 'string_agg', '|'), '') AS entities FROM part"),
     "cart_totals": (cart_totals, "SELECT l_orderkey, round(sum(l_quantity * l_extendedprice), 2) AS total FROM lineitem GROUP BY 1"),
-    "multiset_equality": (multiset_equality, "SELECT count(*) AS n, true AS equal FROM orders"),
+    "multiset_equality": (multiset_equality, MULTISET_SQL),
     "top_counts": (top_counts, "SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1 ORDER BY n DESC, o_custkey LIMIT 10"),
     "count_by_key": (count_by_key, "SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS n_users FROM events GROUP BY 1"),
     "pct_interp_by_type": (percentiles, "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1"),

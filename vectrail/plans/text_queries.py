@@ -196,20 +196,30 @@ def target_tokens(s, d):
 
 
 def quote_grounding(s, d):
-    """Where each benchmark text stands in documents (exactly), code points from 0."""
-    items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("quote"))
-    hit = R.against(items, _docs(s, d).select("doc_id", "text")).withColumn("at", F.instr(F.col("text"), F.col("quote")))
-    return hit.where("at > 0").select("item_id", "doc_id", L(F.col("at") - 1).alias("start"), L(F.col("at") - 1 + F.length("quote")).alias("end"))
+    """All places of each benchmark text in documents, any white space between its words: their number, and the first, code points from 0.
+
+    Words of a quote are looked for as they are first; only texts that hold its
+    longest one are searched for the whole.
+    """
+    words = F.filter(F.split("text", r"\s+"), lambda w: w != "")
+    longest = F.reduce(words, F.lit(""), lambda a, w: F.when(F.length(w) > F.length(a), w).otherwise(a))
+    literal = F.transform(words, lambda w: F.regexp_replace(w, r"([^A-Za-z0-9\s])", r"\\$1"))
+    items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.array_join(literal, r"\s+").alias("pattern"), longest.alias("word")).where("word != ''")
+    held = R.against(items, _docs(s, d).select("doc_id", "text")).where(F.contains("text", F.col("word")))
+    hit = held.withColumn("found", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))).where(F.size("found") > 0)
+    start = L(F.instr(F.col("text"), F.col("found")[0]) - 1)
+    return hit.select("item_id", "doc_id", L(F.size("found")).alias("n"), start.alias("start"), (start + F.length(F.col("found")[0])).alias("end"))
 
 
-QUOTE_SQL = """SELECT item_id, doc_id, (instr(d.text, b.text) - 1)::BIGINT AS start, (instr(d.text, b.text) - 1 + length(b.text))::BIGINT AS "end"
-FROM benchmark b, documents d WHERE item_id % 50 = 0 AND instr(d.text, b.text) > 0"""
+QUOTE_SQL = r"""WITH b AS (SELECT item_id, array_to_string(list_transform(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> ''), lambda w: regexp_replace(w, '([^A-Za-z0-9\s])', '\\\1', 'g')), '\s+') AS p FROM benchmark WHERE item_id % 50 = 0),
+h AS (SELECT item_id, doc_id, text, regexp_extract_all(text, p) AS m FROM b, documents WHERE p <> '')
+SELECT item_id, doc_id, len(m) AS n, (instr(text, m[1]) - 1)::BIGINT AS start, (instr(text, m[1]) - 1 + length(m[1]))::BIGINT AS "end" FROM h WHERE len(m) > 0"""
 
 
 def numbers_and_times(s, d):
     t = F.col("text")
     return _docs(s, d).select(
-        "doc_id", F.coalesce(X.first_number(t) * 0 + F.length(F.regexp_extract(t, r"(\d+)", 1)), F.lit(0.0)).alias("digits"),
+        "doc_id", X.first_number(t).alias("number"),
         X.subtitle_time(F.col("n_chars") / 7.0).alias("srt"), X.subtitle_time(F.col("n_chars") / 7.0, ".").alias("vtt"),
         F.coalesce(X.clock_minutes(F.concat((F.col("doc_id") % 12 + 1).cast("string"), F.lit(":30 "), F.when(F.col("doc_id") % 2 == 0, "AM").otherwise("pm"))), F.lit(-1)).cast("long").alias("minute"),
         F.round(F.col("n_chars").cast("decimal(38,18)") / 1000, 6).cast("double").alias("thousands"),
@@ -217,7 +227,7 @@ def numbers_and_times(s, d):
 
 
 NUM_SQL = r"""WITH m AS (SELECT *, round_even(n_chars / 7.0 * 1000, 0)::BIGINT AS ms FROM documents)
-SELECT doc_id, length(regexp_extract(text, '(\d+)', 1))::DOUBLE AS digits,
+SELECT doc_id, TRY_CAST(nullif(regexp_extract(replace(text, ',', ''), '(-?[0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS number,
  printf('%02d:%02d:%02d,%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS srt,
  printf('%02d:%02d:%02d.%03d', ms // 3600000, ms // 60000 % 60, ms // 1000 % 60, ms % 1000) AS vtt,
  (((doc_id % 12 + 1) % 12 + CASE WHEN doc_id % 2 = 0 THEN 0 ELSE 12 END) * 60 + 30)::BIGINT AS minute, round(n_chars / 1000.0, 6)::DOUBLE AS thousands FROM m"""
@@ -283,19 +293,11 @@ def windowed_spans(s, d):
 
 
 def span_extraction(s, d):
-    """Distinct numbers of four or more digits whose first place in a window is inside it, as the query's SQL has it.
-
-    Fewer than all: ``windowed_spans`` gives every number at every place.
-    """
-    windows = _docs(s, d).select("doc_id", F.explode(X.char_windows(F.col("text"), WINDOW, OVERLAP)).alias("w"))
-    hits = windows.select("doc_id", F.col("w.start").alias("base"), F.col("w.text").alias("body"), F.explode(F.regexp_extract_all(F.col("w.text"), F.lit(r"(\d{4,})"), F.lit(1))).alias("match"))
-    placed = hits.withColumn("start", F.col("base") + F.instr(F.col("body"), F.col("match")) - 1).withColumn("end", F.col("start") + F.length("match"))
-    inner = placed.where((F.col("start") > F.col("base")) & (F.col("end") < F.col("base") + F.length("body")))
-    return inner.groupBy("doc_id").agg(L(F.countDistinct("match")).alias("n_spans"))
+    """How many numbers of four or more digits each document has, found window by window; ``windowed_spans`` places them."""
+    return number_spans(_docs(s, d).select("doc_id", "text")).groupBy("doc_id").agg(F.count("*").alias("n_spans"))
 
 
-SPAN_SQL = f"""WITH {CHUNK_SQL}, h AS (SELECT doc_id, start AS base, chunk, unnest(regexp_extract_all(chunk, '[0-9]{{4,}}')) AS m FROM c),
-p AS (SELECT *, base + instr(chunk, m) - 1 AS s FROM h) SELECT doc_id, count(DISTINCT m) AS n_spans FROM p WHERE s > base AND s + length(m) < base + length(chunk) GROUP BY 1"""
+SPAN_SQL = "SELECT doc_id, len(regexp_extract_all(text, '[0-9]{4,}')) AS n_spans FROM documents WHERE regexp_matches(text, '[0-9]{4,}')"
 
 
 def merge_adjacent_spans(s, d):
@@ -315,13 +317,20 @@ SELECT doc_id, min(pos) AS start, max(pos) AS stop, max(score)::BIGINT AS score
 
 
 def entities_in_chunk(s, d):
-    """Entities that overlap a chunk: start before its end, end after its start."""
+    """How many entities (60 characters at every 450th of the whole text) overlap each chunk: start before its end, end after its start.
+
+    Both sides meet by document and stretch of text, so a very long document is not one join key.
+    """
+    over = lambda a, b: F.explode(F.sequence(F.floor(a / 900), F.floor((b - 1) / 900))).alias("bucket")
     c = chunks(_docs(s, d)).select("doc_id", "chunk_ix", "start", (F.col("start") + F.length("chunk")).alias("stop"))
-    e = _docs(s, d).select("doc_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("k"), "n_chars").select("doc_id", L(F.col("k") * 450).alias("e_start"), L(F.col("k") * 450 + 60).alias("e_end"), "n_chars").where("e_end <= n_chars")
-    return c.join(e, (c["doc_id"] == e["doc_id"]) & (F.col("e_start") < F.col("stop")) & (F.col("e_end") > F.col("start"))).groupBy(c["doc_id"], "chunk_ix").agg(F.count("*").alias("n"))
+    c = c.select("*", over(F.col("start"), F.col("stop")))
+    e = _docs(s, d).where("n_chars >= 60").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_chars") - 60) / 450))).alias("k"))
+    e = e.select("doc_id", "k", (F.col("k") * 450).alias("e_start"), (F.col("k") * 450 + 60).alias("e_end"))
+    met = c.join(e.select("*", over(F.col("e_start"), F.col("e_end"))), ["doc_id", "bucket"]).where("e_start < stop AND e_end > start")
+    return met.select("doc_id", "chunk_ix", "k").distinct().groupBy("doc_id", "chunk_ix").agg(F.count("*").alias("n"))
 
 
-ENT_SQL = f"""WITH {CHUNK_SQL}, e AS (SELECT doc_id, k * 450 AS s, k * 450 + 60 AS t FROM documents, range(6) r(k) WHERE k * 450 + 60 <= n_chars)
+ENT_SQL = f"""WITH {CHUNK_SQL}, e AS (SELECT doc_id, k * 450 AS s, k * 450 + 60 AS t FROM (SELECT doc_id, unnest(range(0, (n_chars - 60) // 450 + 1)) AS k FROM documents WHERE n_chars >= 60))
 SELECT c.doc_id, chunk_ix, count(*) AS n FROM c JOIN e ON c.doc_id = e.doc_id AND s < start + length(chunk) AND t > start GROUP BY 1, 2"""
 
 

@@ -134,54 +134,61 @@ def maxsim_items_retrieval(spark, d):
     return top.select("query_item", "doc_item", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def multivectors(e: DataFrame, n: int = 8) -> DataFrame:
-    """One multivector a label: its first ``n`` vectors by id, as the queries' SQL has it; ``item_scores`` takes all vectors."""
-    first = R.top_k(e, ["label"], [F.asc("vec_id")], n, "place")
-    return first.groupBy("label").agg(
-        F.transform(F.sort_array(F.collect_list(F.struct("place", "embedding"))), lambda x: x["embedding"]).alias("mv")
-    )
+ITEM_SQL = """v AS (SELECT vec_id // 8 AS item, vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+p AS (SELECT a.item AS query_item, b.item AS doc_item, a.vec_id, max(list_dot_product(a.v, b.v)) AS best, max(list_cosine_similarity(a.v, b.v)) AS cosine FROM v a, v b WHERE a.item % 50 = 0 GROUP BY 1, 2, 3),
+s AS (SELECT query_item, doc_item, round(sum(best), 6) AS score, round(sum(cosine) / count(*), 6) AS by_length FROM p GROUP BY 1, 2)"""
 
 
-MV_SQL = """m AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, embedding::DOUBLE[] AS v FROM embeddings),
-t AS (SELECT * FROM m WHERE t <= 8),
-p AS (SELECT a.label AS query_label, b.label AS doc_label, a.t, max(list_dot_product(a.v, b.v)) AS best FROM t a, t b GROUP BY 1, 2, 3)"""
+def label_scores(e: DataFrame) -> DataFrame:
+    """(query_label, doc_label, score, by_length): a label's query rows (ids divisible by 50) against all rows of each label.
 
+    Each query vector's best inner product and best cosine with a label's vectors are
+    maxima that tasks take before the shuffle; they are summed, and averaged.
+    """
+    both = R.against(_queries(e), e)
+    best = both.groupBy("query_id", "query_label", F.col("label").alias("doc_label")).agg(
+        F.max(V.dot(F.col("query"), F.col("embedding"))).alias("dot"), F.max(V.cosine(F.col("query"), F.col("embedding"))).alias("cosine")
+    )
+    return best.groupBy("query_label", "doc_label").agg(_r(F.sum("dot")).alias("score"), _r(F.sum("cosine") / F.count("*")).alias("by_length"))
 
-def _pairs(spark, d):
-    m = multivectors(_emb(spark, d))
-    q = m.select(F.col("label").alias("query_label"), F.col("mv").alias("q"))
-    return R.against(q, m.select(F.col("label").alias("doc_label"), F.col("mv").alias("dv")))
+
+MV_SQL = f"""{Q_SQL}, p AS (SELECT query_id, query_label, label AS doc_label, max(list_dot_product(qv, embedding::DOUBLE[])) AS best, max(list_cosine_similarity(qv, embedding::DOUBLE[])) AS cosine FROM q, embeddings GROUP BY 1, 2, 3),
+s AS (SELECT query_label, doc_label, round(sum(best), 6) AS score, round(sum(cosine) / count(*), 6) AS by_length FROM p GROUP BY 1, 2)"""
 
 
 def maxsim_pairs(spark, d):
-    return _pairs(spark, d).select("query_label", "doc_label", _r(V.maxsim(F.col("q"), F.col("dv"))).alias("score"))
+    return label_scores(_emb(spark, d)).select("query_label", "doc_label", "score")
 
 
 def maxsim_by_length(spark, d):
-    unit = lambda c: F.transform(c, V.unit)
-    p = _pairs(spark, d).select("query_label", "doc_label", unit(F.col("q")).alias("q"), unit(F.col("dv")).alias("dv"))
-    return p.select("query_label", "doc_label", _r(V.maxsim(F.col("q"), F.col("dv"), empty="0") / F.size("q")).alias("score"))
+    return label_scores(_emb(spark, d)).select("query_label", "doc_label", F.col("by_length").alias("score"))
 
 
-MV_UNIT_SQL = """WITH m AS (SELECT label, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS t, embedding::DOUBLE[] AS v FROM embeddings),
-t AS (SELECT * FROM m WHERE t <= 8),
-p AS (SELECT a.label AS query_label, b.label AS doc_label, a.t, max(list_cosine_similarity(a.v, b.v)) AS best FROM t a, t b GROUP BY 1, 2, 3)
-SELECT query_label, doc_label, round(sum(best) / count(*), 6) AS score FROM p GROUP BY 1, 2"""
+def maxsim_retrieval(spark, d):
+    return R.top_k(maxsim_pairs(spark, d), ["query_label"], [F.desc("score"), F.asc("doc_label")], 3).select("query_label", "doc_label", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def maxsim_retrieval(spark, d):
-    scored = maxsim_pairs(spark, d)
-    return R.top_k(scored, ["query_label"], [F.desc("score"), F.asc("doc_label")], 3).select("query_label", "doc_label", "score", F.col("rank").cast("long").alias("rank"))
+def _mean_vectors(rows: DataFrame, name: str) -> DataFrame:
+    """One row a label: the mean of its vectors, by positions."""
+    each = rows.select(F.col("label").alias(f"{name}_label"), F.posexplode("embedding").alias("pos", "x")).groupBy(f"{name}_label", "pos").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    held = each.groupBy(f"{name}_label").agg(F.sort_array(F.collect_list(F.struct("pos", "m"))).alias("v"))
+    return held.select(f"{name}_label", F.transform("v", lambda x: x["m"]).alias(f"{name}_mean"))
 
 
 def maxsim_rerank(spark, d):
-    """Late interaction on candidates that the mean vectors choose."""
-    m = multivectors(_emb(spark, d))
-    p = _pairs(spark, d).withColumn("coarse", _r(V.dot(F.col("q")[0], F.col("dv")[0])))
-    candidates = R.top_k(p.where("query_label != doc_label"), ["query_label"], [F.desc("coarse"), F.asc("doc_label")], 4).select("query_label", "doc_label")
-    q = m.select(F.col("label").alias("query_label"), F.col("mv").alias("q"))
-    v = m.select(F.col("label").alias("doc_label"), F.col("mv").alias("dv"))
-    return candidates.join(q, "query_label").join(v, "doc_label").select("query_label", "doc_label", _r(V.maxsim(F.col("q"), F.col("dv"))).alias("score"))
+    """Late interaction for the four other labels whose mean vectors are nearest to that of the query rows."""
+    e = _emb(spark, d)
+    pairs = _mean_vectors(e.where("vec_id % 50 = 0"), "query").crossJoin(F.broadcast(_mean_vectors(e, "doc")))  # one row a label
+    coarse = pairs.where("query_label != doc_label").withColumn("coarse", _r(V.dot(F.col("query_mean"), F.col("doc_mean"))))
+    near = R.top_k(coarse, ["query_label"], [F.desc("coarse"), F.asc("doc_label")], 4).select("query_label", "doc_label")
+    return label_scores(e).join(near, ["query_label", "doc_label"], "left_semi").select("query_label", "doc_label", "score")
+
+
+RERANK_SQL = f"""WITH {MV_SQL}, x AS (SELECT label, vec_id, unnest(embedding::DOUBLE[]) AS x, unnest(range(len(embedding))) AS pos FROM embeddings),
+a AS (SELECT label AS query_label, pos, avg(x) AS m FROM x WHERE vec_id % 50 = 0 GROUP BY 1, 2), b AS (SELECT label AS doc_label, pos, avg(x) AS m FROM x GROUP BY 1, 2),
+c AS (SELECT query_label, doc_label, round(sum(a.m * b.m), 6) AS coarse FROM a JOIN b USING (pos) WHERE query_label <> doc_label GROUP BY 1, 2),
+n AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY coarse DESC, doc_label) AS n FROM c)
+SELECT query_label, doc_label, score FROM s JOIN n USING (query_label, doc_label) WHERE n <= 4"""
 
 
 def hybrid_weighted(spark, d):
@@ -406,15 +413,12 @@ QUERIES = {
     "knn_similarity_threshold": (knn_threshold, f"""WITH {Q_SQL}, s AS (SELECT query_id, vec_id, {COS} AS score FROM q, embeddings WHERE vec_id <> query_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s WHERE score > 0.3) SELECT query_id, vec_id, score, n - 1 AS rank FROM r WHERE n <= 5"""),
     "two_stage_knn": (two_stage_knn, TWO_STAGE_SQL),
-    "maxsim_items": (maxsim_items, None),
-    "maxsim_items_retrieval": (maxsim_items_retrieval, None),
-    "maxsim_pairs": (maxsim_pairs, f"WITH {MV_SQL} SELECT query_label, doc_label, round(sum(best), 6) AS score FROM p GROUP BY 1, 2"),
-    "maxsim_len_norm": (maxsim_by_length, MV_UNIT_SQL),
-    "maxsim_retrieval": (maxsim_retrieval, f"""WITH {MV_SQL}, s AS (SELECT query_label, doc_label, round(sum(best), 6) AS score FROM p GROUP BY 1, 2),
-r AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, doc_label) AS n FROM s) SELECT query_label, doc_label, score, n - 1 AS rank FROM r WHERE n <= 3"""),
-    "maxsim_rerank": (maxsim_rerank, f"""WITH {MV_SQL}, c AS (SELECT a.label AS query_label, b.label AS doc_label, row_number() OVER (PARTITION BY a.label ORDER BY round(list_dot_product(a.v, b.v), 6) DESC, b.label) AS n
- FROM t a, t b WHERE a.t = 1 AND b.t = 1 AND a.label <> b.label)
-SELECT query_label, doc_label, round(sum(best), 6) AS score FROM p JOIN c USING (query_label, doc_label) WHERE n <= 4 GROUP BY 1, 2"""),
+    "maxsim_items": (maxsim_items, f"WITH {ITEM_SQL} SELECT query_item, doc_item, score, by_length FROM s"),
+    "maxsim_items_retrieval": (maxsim_items_retrieval, f"WITH {ITEM_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY query_item ORDER BY score DESC, doc_item) AS n FROM s) SELECT query_item, doc_item, score, n - 1 AS rank FROM r WHERE n <= 3"),
+    "maxsim_pairs": (maxsim_pairs, f"WITH {MV_SQL} SELECT query_label, doc_label, score FROM s"),
+    "maxsim_len_norm": (maxsim_by_length, f"WITH {MV_SQL} SELECT query_label, doc_label, by_length AS score FROM s"),
+    "maxsim_retrieval": (maxsim_retrieval, f"WITH {MV_SQL}, r AS (SELECT query_label, doc_label, score, row_number() OVER (PARTITION BY query_label ORDER BY score DESC, doc_label) AS n FROM s) SELECT query_label, doc_label, score, n - 1 AS rank FROM r WHERE n <= 3"),
+    "maxsim_rerank": (maxsim_rerank, RERANK_SQL),
     "hybrid_weighted": (hybrid_weighted, HYBRID_SQL),
     "rrf_fuse": (rrf_fuse, RRF_SQL),
     "hybrid_pool": (hybrid_pool, POOL_SQL),

@@ -68,6 +68,11 @@ def _stored_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark).rstrip('/')}/stored-{spark.sparkContext.applicationId}"
 
 
+def stored_path(spark: SparkSession) -> str:
+    """A new place in the shared folder, which ``clear_stored`` deletes."""
+    return f"{_stored_dir(spark)}/{uuid.uuid4().hex}"
+
+
 def stored(df: DataFrame) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read again.
 
@@ -75,7 +80,7 @@ def stored(df: DataFrame) -> DataFrame:
     ``clear_stored`` deletes what an application stored.
     """
     spark = df.sparkSession
-    path = f"{_stored_dir(spark)}/{uuid.uuid4().hex}"
+    path = stored_path(spark)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vectrail.session import stored_path
+
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
@@ -73,12 +74,18 @@ def token_bucket(stream: DataFrame, key: str, at: str, capacity: float = 3.0, pe
     )
 
 
-def drain(stream: DataFrame, name: str, mode: str) -> DataFrame:
-    """All that is there through the stream into a table in memory; for tests and registered queries."""
+def drain(stream: DataFrame, mode: str) -> DataFrame:
+    """All that is there through the stream, written as Parquet in the shared folder and read again.
+
+    The stream's checkpoint is there too. In mode ``complete`` a batch's result
+    takes the place of the one before.
+    """
     spark = stream.sparkSession
-    query = (
-        stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True)
-        .option("checkpointLocation", tempfile.mkdtemp(prefix="spark-")).start()
-    )
-    query.awaitTermination()
-    return spark.table(name)
+    out = stored_path(spark)
+    writer = stream.writeStream.outputMode(mode).trigger(availableNow=True).option("checkpointLocation", f"{out}-checkpoint")
+    if mode == "append":
+        writer = writer.format("parquet").option("path", out)
+    else:
+        writer = writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+    writer.start().awaitTermination()
+    return spark.read.schema(stream.schema).parquet(out)
