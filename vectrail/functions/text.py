@@ -42,10 +42,10 @@ def hash_bucket(token: Column, dims: int = 64) -> Column:
 def hash_vector(text: Column, dims: int = 64) -> Column:
     """Token counts by bucket; zeros for a text without tokens."""
     buckets = F.transform(alnum_tokens(text), lambda t: hash_bucket(t, dims))
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: F.size(F.filter(buckets, lambda x: x == b)).cast("double")
-    )
-    return counts
+    count = lambda whole, b: (F.size(whole) - F.size(F.array_remove(whole, b))).cast("double")
+    # elements of arrays of one are bound once
+    counted = F.transform(F.array(buckets), lambda whole: F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda b: count(whole, b)))
+    return F.get(counted, F.lit(0))
 
 
 def normalise(text: Column) -> Column:
@@ -119,6 +119,14 @@ def first_number(text: Column) -> Column:
     return F.regexp_extract(F.replace(text, F.lit(","), F.lit("")), r"(-?\d+(?:\.\d+)?)", 1).try_cast("double")
 
 
+def table_count(markdown: Column) -> Column:
+    """Tables of a text: lines that begin with a bar and have a second one, each with a row of dashes below."""
+    lines = F.split(markdown, "\r?\n")
+    head = lambda a: F.rlike(a, F.lit(r"^[ \t]*\|.*\|"))
+    dashes = lambda b: F.coalesce(F.contains(b, F.lit("-")) & F.rlike(b, F.lit(r"^\s*[-|: ]+\s*$")), F.lit(False))
+    return F.size(F.filter(F.zip_with(lines, F.slice(lines, 2, 1 << 30), lambda a, b: dashes(b) & head(a)), lambda x: x))
+
+
 #: Elements that ``running`` folds at once.
 RUN = 256
 
@@ -164,12 +172,12 @@ def placed(found: Column, pieces: Column) -> Column:
     return running(pairs, F.lit(0).cast("long"), lambda at, x: at + x["gap"] + F.length(x["m"]), span, MATCH)
 
 
-def matches(text: Column, pattern: str) -> Column:
+def matches(text: Column, pattern: Column | str) -> Column:
     """(start, end, match) of every match, leftmost, without overlap; the pattern must not match the empty text.
 
     The text is split at the matches; the lengths of the pieces and the matches give the offsets.
     """
-    return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1))
+    return placed(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, F.lit(pattern), F.lit(-1)))
 
 
 def joined_spans(spans: Column, kind: str) -> Column:

@@ -7,9 +7,11 @@ function over pandas batches; it is built once in each Python worker.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vectrail.functions import text as X
@@ -69,8 +71,6 @@ def with_model(items: DataFrame, build: Callable[[], Callable], schema: str) ->
     """
 
     def run(batches: Iterator) -> Iterator:
-        import pandas as pd
-
         model = build()
         for batch in batches:
             try:
@@ -86,3 +86,34 @@ def with_model(items: DataFrame, build: Callable[[], Callable], schema: str) ->
                 yield pd.concat(parts)
 
     return items.mapInPandas(run, schema)
+
+
+def register_encoder(spark: SparkSession, name: str, build: Callable[[], Callable]) -> None:
+    """A SQL function ``name(text)`` that gives vectors; ``build()`` loads the model once in a worker, it maps a list of texts to vectors."""
+
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        model = build()
+        for texts in batches:
+            yield pd.Series(list(model(texts.fillna("").tolist())), dtype=object)
+
+    spark.udf.register(name, F.pandas_udf(run, "array<double>"))
+
+
+def register_extractor(spark: SparkSession, name: str, patterns: dict[str, str]) -> None:
+    """A SQL table function ``name(text)`` that gives rows (start, end, label, match) of the patterns' matches."""
+
+    class Extractor:
+        def __init__(self):
+            self.patterns = {k: re.compile(p) for k, p in patterns.items()}
+
+        def eval(self, text: str):
+            for label, pattern in self.patterns.items():
+                for m in pattern.finditer(text or ""):
+                    yield m.start(), m.end(), label, m.group()
+
+    spark.udtf.register(name, F.udtf(Extractor, returnType="start long, end long, label string, match string"))
+
+
+def rerank(pairs: DataFrame, scorer: Callable, *, by: tuple[str, ...] = ("query",), item: str = "doc", place: str = "place", top: int = 10) -> DataFrame:
+    """The best ``top`` of each group of ``pairs`` by ``scorer(key, items)``, with ``score`` and ``rank`` from 0; ties keep their places."""
+    return R.top_k(R.grouped_scores(pairs, scorer, by=by, item=item, place=place), list(by), [F.desc("score"), F.asc(place)], top)

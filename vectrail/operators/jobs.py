@@ -128,3 +128,33 @@ class JobSpec:
 def merge_into(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], to: str) -> None:
     """Insert-or-update of a Parquet table, written to ``to``."""
     upsert(spark.read.parquet(path), rows, keys).write.mode("overwrite").parquet(to)
+
+
+def publish_run(df: DataFrame, root: str, run_id: str) -> str:
+    """Writes a run's rows beside ``root``'s runs and then renames the folder, so a run is seen whole or not at all; its path.
+
+    A run that fails leaves what it wrote in ``failed`` and raises; a run of that
+    name that is there already raises before anything is written.
+    """
+    if not run_id or "/" in run_id or run_id.startswith((".", "_")):
+        raise ValueError("a run needs a plain name")
+    spark = df.sparkSession
+    place = lambda *parts: spark._jvm.org.apache.hadoop.fs.Path(join_path(root, *parts))
+    files = place().getFileSystem(spark._jsc.hadoopConfiguration())
+    if files.exists(place("runs", run_id)):
+        raise FileExistsError(run_id)
+
+    def move(to: str) -> None:
+        files.mkdirs(place(to))
+        if not files.rename(place("_staged", run_id), place(to, run_id)):
+            raise OSError(f"could not publish {run_id}")
+
+    try:
+        df.write.mode("overwrite").parquet(join_path(root, "_staged", run_id))
+    except Exception:
+        files.mkdirs(place("_staged", run_id))
+        files.delete(place("failed", run_id), True)
+        move("failed")
+        raise
+    move("runs")
+    return join_path(root, "runs", run_id)

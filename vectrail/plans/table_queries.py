@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
 from vectrail.operators import ranking as R
+from vectrail.operators.mapping import shared_width
 from vectrail.operators.tables import upsert
 from vectrail.session import table
 
@@ -21,6 +22,8 @@ def _ev(s, d) -> DataFrame:
 
 EV = "e AS (SELECT *, (props::JSON->>'$.k')::BIGINT AS k FROM events)"
 SPLIT = "2024-01-20"
+#: Width of a line taken as a box.
+SHELF = 20.0
 
 
 def ilike_order_limit(s, d):
@@ -326,13 +329,23 @@ def event_normalise(s, d):
 
 
 def vertical_pairs(s, d):
-    """For each order the pair of lines with the largest price sum less quantity gap."""
-    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_quantity")
-    b = li.select("l_orderkey", *(F.col(c).alias("b_" + c) for c in ("l_linenumber", "l_extendedprice", "l_quantity")))
-    j = li.join(b, "l_orderkey").where("l_linenumber < b_l_linenumber")
-    score = F.round(F.col("l_extendedprice") + F.col("b_l_extendedprice") - F.abs(F.col("l_quantity") - F.col("b_l_quantity")) / 10000, 4)
-    best = R.top_k(j.withColumn("score", score), ["l_orderkey"], [F.desc("score"), F.asc("l_linenumber"), F.asc("b_l_linenumber")], 1)
-    return best.select("l_orderkey", L(F.col("l_linenumber")).alias("a"), L(F.col("b_l_linenumber")).alias("b"), "score")
+    """For each order the pair of lines, as boxes of ``SHELF`` width, of the largest shared width of 0.6 or more, then of the best scores less the gap."""
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("left"), F.col("l_discount").cast("double").alias("score"))
+    b = li.select("l_orderkey", *(F.col(c).alias("b_" + c) for c in ("l_linenumber", "left", "score")))
+    width = F.lit(SHELF)
+    shared = F.round(shared_width([F.col("left"), width], [F.col("b_left"), width]), 6)
+    gap = (F.col("b_l_linenumber") - F.col("l_linenumber")) * 10
+    j = li.join(b, "l_orderkey").where("l_linenumber < b_l_linenumber").select(
+        "l_orderkey", L(F.col("l_linenumber")).alias("a"), L(F.col("b_l_linenumber")).alias("b"), shared.alias("overlap"), F.round(F.col("score") + F.col("b_score") - gap / 10000, 6).alias("score")
+    )
+    best = R.top_k(j.where("overlap >= 0.6"), ["l_orderkey"], [F.desc("overlap"), F.desc("score"), F.asc("a"), F.asc("b")], 1)
+    return best.select("l_orderkey", "a", "b", "overlap", "score")
+
+
+VERTICAL_SQL = f"""WITH l AS (SELECT l_orderkey, l_linenumber AS n, l_quantity::DOUBLE AS x, l_discount::DOUBLE AS s FROM lineitem),
+j AS (SELECT a.l_orderkey, a.n AS x, b.n AS y, round(greatest(0, least(a.x, b.x) + {SHELF} - greatest(a.x, b.x)) / {SHELF}, 6) AS overlap, round(a.s + b.s - (b.n - a.n) * 10 / 10000.0::DOUBLE, 6) AS score FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.n < b.n),
+r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY overlap DESC, score DESC, x, y) AS k FROM j WHERE overlap >= 0.6)
+SELECT l_orderkey, x::BIGINT AS a, y::BIGINT AS b, overlap, score FROM r WHERE k = 1"""
 
 
 def misses(s, d):
@@ -391,7 +404,7 @@ SELECT user_id, max(i) AS n, max(passed) AS passed FROM b GROUP BY 1"""),
     "classification_rows": (classification_rows, "WITH v AS (SELECT c_custkey, c_acctbal / 10000.0::DOUBLE AS v FROM customer), u AS (SELECT c_custkey, 'poor' AS label, round(1 - v, 6) AS score FROM v WHERE 1 - v >= 0.4 UNION ALL SELECT c_custkey, 'rich', round(v, 6) FROM v WHERE v >= 0.4) SELECT c_custkey, label, score, row_number() OVER (PARTITION BY c_custkey ORDER BY score DESC, label) - 1 AS rank FROM u"),
     "scoped_sql": (obligations, "SELECT o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders WHERE o_orderpriority = '1-URGENT' GROUP BY 1"),
     "event_validation": (event_normalise, "SELECT CASE WHEN user_id IS NULL THEN 'no user' WHEN NOT regexp_full_match(event_type, '[a-z_]+') THEN 'verb' WHEN value < 0 THEN 'value' ELSE 'ok' END AS verdict, count(*) AS n FROM events GROUP BY 1"),
-    "vertical_pairs": (vertical_pairs, "WITH l AS (SELECT * FROM lineitem), j AS (SELECT a.l_orderkey, a.l_linenumber AS x, b.l_linenumber AS y, round(a.l_extendedprice + b.l_extendedprice - abs(a.l_quantity - b.l_quantity) / 10000, 4) AS score FROM l a JOIN l b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY score DESC, x, y) AS n FROM j) SELECT l_orderkey, x::BIGINT AS a, y::BIGINT AS b, score FROM r WHERE n = 1"),
+    "vertical_pairs": (vertical_pairs, VERTICAL_SQL),
     "anti_join_misses": (misses, "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)"),
     "taxonomy_paths": (taxonomy_paths, "SELECT p_partkey, string_split(p_type, ' ')[-1] AS leaf, len(string_split(p_type, ' ')) AS level, CASE WHEN len(string_split(p_type, ' ')) >= 2 THEN string_split(p_type, ' ')[1] || ' > ' || string_split(p_type, ' ')[2] ELSE '' END AS prefix_2 FROM part"),
 }

@@ -61,12 +61,14 @@ SELECT l.doc_id, pos, round(coalesce(n, 0) / norm, 6) AS value FROM l CROSS JOIN
 def grounded_passages(s, d, k: int = 3):
     """For each benchmark item (every id divisible by 50) the chunks nearest to it by hash vectors, reranked by coverage."""
     items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
-    q = items.join(chunk_vectors(s, items, "question", ("item_id",)).withColumnRenamed("vector", "query"), "item_id")
-    chunked = chunks(_docs(s, d))
-    rows = chunked.select("doc_id", "chunk_ix").join(chunk_vectors(s, chunked), ["doc_id", "chunk_ix"])
-    near = R.against(q.select("item_id", "query"), rows).withColumn("cosine", F.round(V.cosine(F.col("query"), F.col("vector")), 6))
-    short = R.top_k(near.select("item_id", "doc_id", "chunk_ix", "cosine"), ["item_id"], [F.desc("cosine"), F.asc("doc_id"), F.asc("chunk_ix")], 20)
-    texts = short.join(chunked.select("doc_id", "chunk_ix", "start", "chunk"), ["doc_id", "chunk_ix"]).join(items, "item_id")
+    q = items.select("item_id", "question", X.hash_vector(F.col("question")).alias("query")).withColumn("q_norm", V.norm(F.col("query"))).where("q_norm > 0")
+    # a chunk is short, so its vector is counted in its row; nothing is shuffled before the ranking
+    rows = chunks(_docs(s, d)).select("doc_id", "chunk_ix", "start", X.hash_vector(F.col("chunk")).alias("vector"))
+    rows = rows.withColumn("norm", V.norm(F.col("vector"))).where("norm > 0")
+    near = R.against(q.select("item_id", "query", "q_norm"), rows).withColumn("cosine", F.round(V.dot(F.col("query"), F.col("vector")) / (F.col("q_norm") * F.col("norm")), 6))
+    short = R.top_k(near.select("item_id", "doc_id", "chunk_ix", "start", "cosine"), ["item_id"], [F.desc("cosine"), F.asc("doc_id"), F.asc("chunk_ix")], 20)
+    chunk = F.substr("text", (F.col("start") + 1).cast("int"), F.lit(WINDOW))
+    texts = _docs(s, d).select("doc_id", "text").join(short, "doc_id").join(items, "item_id").withColumn("chunk", chunk)
     scored = texts.withColumn("score", F.round(X.coverage(F.col("question"), F.col("chunk")), 6))
     best = R.top_k(scored, ["item_id"], [F.desc("score"), F.desc("cosine"), F.asc("doc_id"), F.asc("chunk_ix")], k, "place")
     return best.select("item_id", L(F.col("place")).alias("place"), "doc_id", "chunk_ix", "start", "cosine", "score")
@@ -335,10 +337,10 @@ SELECT c.doc_id, chunk_ix, count(*) AS n FROM c JOIN e ON c.doc_id = e.doc_id AN
 
 
 def markdown_tables(s, d):
-    """Lines with a bar that a line with a bar follows, as table rows; and the headings' order check."""
+    """Tables that begin in each text, and lines with a bar that a line with a bar follows."""
     lines = F.split("text", "\n")
     pairs = F.size(F.filter(F.zip_with(lines, F.slice(lines, 2, 1 << 30), lambda a, b: F.contains(a, F.lit("|")) & F.coalesce(F.contains(b, F.lit("|")), F.lit(False))), lambda x: x))
-    return _docs(s, d).select("doc_id", L(pairs).alias("n_pairs"))
+    return _docs(s, d).select("doc_id", L(pairs).alias("n_pairs"), L(X.table_count(F.col("text"))).alias("n_tables"))
 
 
 def hash_scalars(s, d):
@@ -393,7 +395,7 @@ QUERIES = {
     "windowed_spans": (windowed_spans, None),
     "merge_adjacent_spans": (merge_adjacent_spans, ISLAND_SQL),
     "entities_in_chunk": (entities_in_chunk, ENT_SQL),
-    "markdown_table_lines": (markdown_tables, "SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: contains(l[i], '|') AND contains(l[i + 1], '|'))) AS n_pairs FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"),
+    "markdown_table_lines": (markdown_tables, "SELECT doc_id, len(list_filter(range(1, len(l)), lambda i: contains(l[i], '|') AND contains(l[i + 1], '|'))) AS n_pairs, len(list_filter(range(1, len(l)), lambda i: regexp_matches(l[i], '^[ \\t]*\\|.*\\|') AND contains(l[i + 1], '-') AND regexp_matches(l[i + 1], '^[-|: \\t]+$'))) AS n_tables FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)"),
     "hash_scalars": (hash_scalars, HASHSC_SQL),
     "context_compression": (context_compression, COMP_SQL),
     "url_parts": (url_parts, r"SELECT page_id, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host, lower(regexp_extract(url, '^([a-z]+):', 1)) AS scheme, regexp_extract(url, '\.([A-Za-z0-9]+)$', 1) AS suffix FROM pages"),

@@ -61,8 +61,11 @@ def knn_filtered(spark, d):
 
 
 def knn_threshold(spark, d):
+    """The nearest rows above a threshold; a table of fewer than two rows has none."""
     e = _emb(spark, d)
     q = _queries(e)
+    if e.limit(2).count() < 2:
+        q = q.where(F.lit(False))
     hits = R.against(q, e).where(F.col("vec_id") != F.col("query_id")).withColumn("score", _r(V.cosine(F.col("query"), F.col("embedding")))).where(F.col("score") > 0.3)
     return R.top_k(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
 

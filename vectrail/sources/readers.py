@@ -83,3 +83,25 @@ def permissive_json(spark: SparkSession, path: str, schema: str) -> tuple[DataFr
     whole = spark.read.text(path).where(F.trim("value") != "").select("value", parsed.alias("row"))
     good = whole.where("row._bad IS NULL").select("row.*").drop("_bad")
     return good, whole.where("row._bad IS NOT NULL").select(F.col("value").alias("_bad"))
+
+
+def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """(path, length, modified) of the files below ``path`` whose names fit a glob; contents are not read."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(path)
+    return files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+
+def techniques(spark: SparkSession, path: str, active_only: bool = True) -> DataFrame:
+    """(technique_id, name, description) of the attack patterns in threat bundles, by id.
+
+    The id is that of the first reference that begins with T and digits; patterns
+    without one are left out, and with ``active_only`` the revoked and deprecated.
+    """
+    kind = "type:string,name:string,description:string,revoked:boolean,x_mitre_deprecated:boolean,external_references:array<struct<external_id:string>>"
+    bundle = spark.read.schema(f"objects array<struct<{kind}>>").option("multiLine", True).json(path)
+    found = bundle.select(F.inline("objects")).where("type = 'attack-pattern'")
+    ids = F.filter("external_references", lambda r: r["external_id"].rlike("^T[0-9]+"))
+    found = found.withColumn("technique_id", F.get(ids, F.lit(0))["external_id"]).where("technique_id IS NOT NULL")
+    if active_only:
+        found = found.where("NOT coalesce(revoked, false) AND NOT coalesce(x_mitre_deprecated, false)")
+    return found.select("technique_id", "name", "description").orderBy("technique_id")
