@@ -48,6 +48,11 @@ def hash_vector(text: Column, dims: int = 64) -> Column:
     return F.get(counted, F.lit(0))
 
 
+def once(value: Column) -> Column:
+    """``value`` as a generator of one row: later filters and columns read it and never work it out again."""
+    return F.explode(F.array(value))
+
+
 def normalise(text: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))
 

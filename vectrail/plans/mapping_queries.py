@@ -102,7 +102,7 @@ def clause_search(s, d):
     items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
     q = items.withColumn("query", X.hash_vector(F.col("question"))).select("item_id", "query", (V.norm(F.col("query")) + EPSILON).alias("q_norm"))
     lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "clause")).where(F.trim("clause") != "")
-    rows = lines.select("doc_id", "line", X.hash_vector(F.col("clause")).alias("vector")).withColumn("norm", V.norm(F.col("vector")))
+    rows = lines.select("doc_id", "line", X.once(X.hash_vector(F.col("clause"))).alias("vector")).withColumn("norm", V.norm(F.col("vector")))
     near = R.against(q, rows).withColumn("cosine", F.round(V.dot(F.col("query"), F.col("vector")) / (F.col("q_norm") * F.col("norm") + EPSILON), 6))
     ids = ["doc_id", "line"]
     short = R.top_k(near.select("item_id", *ids, "cosine"), ["item_id"], [F.desc("cosine"), *ids], SHORTLIST)
@@ -154,6 +154,7 @@ COST_SQL = f"""SELECT source, items, tokens, verb, round(tokens * price / 1e6::D
 def ingest_enrichment(s, d):
     """Entities are extracted first; the text that is encoded is made of the distinct ones."""
     found = backends.extract(table(s, d, "documents").select("doc_id", "text"), PATTERNS)
+    found = found.select("doc_id", X.once(F.col("entities")).alias("entities"))
     known = F.array_sort(F.array_distinct(F.transform("entities", lambda e: e["text"])))
     made = found.select("doc_id", L(F.size("entities")).alias("n_entities"), L(F.size(known)).alias("n_distinct"), F.array_join(known, " ").alias("text"))
     return backends.encode(made.where("n_entities > 0")).select("doc_id", "n_entities", "n_distinct", F.round(V.total(F.col("dense")), 6).alias("mass"))

@@ -63,7 +63,7 @@ def grounded_passages(s, d, k: int = 3):
     items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
     q = items.select("item_id", "question", X.hash_vector(F.col("question")).alias("query")).withColumn("q_norm", V.norm(F.col("query"))).where("q_norm > 0")
     # a chunk is short, so its vector is counted in its row; nothing is shuffled before the ranking
-    rows = chunks(_docs(s, d)).select("doc_id", "chunk_ix", "start", X.hash_vector(F.col("chunk")).alias("vector"))
+    rows = chunks(_docs(s, d)).select("doc_id", "chunk_ix", "start", X.once(X.hash_vector(F.col("chunk"))).alias("vector"))
     rows = rows.withColumn("norm", V.norm(F.col("vector"))).where("norm > 0")
     near = R.against(q.select("item_id", "query", "q_norm"), rows).withColumn("cosine", F.round(V.dot(F.col("query"), F.col("vector")) / (F.col("q_norm") * F.col("norm")), 6))
     short = R.top_k(near.select("item_id", "doc_id", "chunk_ix", "start", "cosine"), ["item_id"], [F.desc("cosine"), F.asc("doc_id"), F.asc("chunk_ix")], 20)
