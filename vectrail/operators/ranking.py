@@ -5,17 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Query rows that may be broadcast to every task; more are joined block by block.
-MOST_QUERIES = 20_000
+#: Query rows, and their bytes as text, that may be broadcast to every task; more are joined block by block.
+MOST_QUERIES, MOST_BYTES = 20_000, 128 << 20
 
 
-def against(queries: DataFrame, rows: DataFrame, most: int = MOST_QUERIES) -> DataFrame:
+def against(queries: DataFrame, rows: DataFrame, most: int = MOST_QUERIES, most_bytes: int = MOST_BYTES) -> DataFrame:
     """Each query beside every row: the pairs of an exact search over a stated query set.
 
-    The queries are broadcast where their counted number allows it, so the rows are
-    never shuffled; beyond it Spark pairs the partitions of both sides in blocks.
+    The queries are broadcast where their measured number and size allow it, so the
+    rows are never shuffled; beyond that Spark pairs the partitions of both sides in
+    blocks.
     """
-    few = queries.limit(most + 1).count() <= most
+    size = queries.limit(most + 1).select(F.octet_length(F.to_json(F.struct("*"))).alias("size")).agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    few = size[0] <= most and size[1] <= most_bytes
     return rows.crossJoin(F.broadcast(queries) if few else queries.hint("shuffle_replicate_nl"))
 
 

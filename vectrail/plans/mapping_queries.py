@@ -8,6 +8,7 @@ from vectrail.functions import records
 from vectrail.functions import text as X
 from vectrail.functions import vectors as V
 from vectrail.operators import backends, mapping
+from vectrail.operators import blocks as B
 from vectrail.operators import ranking as R
 from vectrail.plans.span_queries import PATTERNS
 from vectrail.plans.text_queries import TOK
@@ -97,15 +98,22 @@ f AS (SELECT item, bucket * {TO} + i AS pos, avg(x[i + 1]) AS value FROM p, rang
 SELECT i.item, r.pos, round(coalesce(value, 0), 5) AS value FROM (SELECT DISTINCT item FROM e) i CROSS JOIN range({width}) r(pos) LEFT JOIN f ON f.item = i.item AND f.pos = r.pos"""
 
 
+def _padded_cosines(q, d):
+    """Cosines with a small number added to a query's norm and to the product of norms, so that none is divided by zero."""
+    import numpy as np
+
+    scale = (np.linalg.norm(q, axis=1) + EPSILON)[:, None] * np.linalg.norm(d, axis=1)[None, :] + EPSILON
+    return q @ d.T / scale
+
+
 def clause_search(s, d):
     """The lines of documents nearest to each benchmark item (ids divisible by 50) by cosine, reranked by coverage; the best as one text."""
     items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
-    q = items.withColumn("query", X.hash_vector(F.col("question"))).select("item_id", "query", (V.norm(F.col("query")) + EPSILON).alias("q_norm"))
+    q = items.select("item_id", X.hash_vector(F.col("question")).alias("query"))
     lines = table(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "clause")).where(F.trim("clause") != "")
-    rows = lines.select("doc_id", "line", X.once(X.hash_vector(F.col("clause"))).alias("vector")).withColumn("norm", V.norm(F.col("vector")))
-    near = R.against(q, rows).withColumn("cosine", F.round(V.dot(F.col("query"), F.col("vector")) / (F.col("q_norm") * F.col("norm") + EPSILON), 6))
+    rows = lines.select("doc_id", "line", X.once(X.hash_vector(F.col("clause"))).alias("vector"))
     ids = ["doc_id", "line"]
-    short = R.top_k(near.select("item_id", *ids, "cosine"), ["item_id"], [F.desc("cosine"), *ids], SHORTLIST)
+    short = B.matrix_knn(q, rows, SHORTLIST, _padded_cosines, query_id="item_id", row_ids=("doc_id", "line"), vector="vector", name="cosine").drop("rank")
     texts = table(s, d, "documents").select("doc_id", F.split("text", "\n").alias("lines")).join(short, "doc_id").join(items, "item_id")
     scored = texts.withColumn("clause", F.get("lines", F.col("line"))).withColumn("score", F.round(X.coverage(F.col("question"), F.col("clause")), 6))
     best = R.top_k(scored.drop("rank", "lines"), ["item_id"], [F.desc("score"), F.desc("cosine"), *ids], BEST)

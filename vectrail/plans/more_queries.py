@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import text as X
 from vectrail.functions import vectors as V
+from vectrail.operators import blocks as B
 from vectrail.operators import ranking as R
 from vectrail.plans import vector_queries as VQ
 from vectrail.plans.span_queries import PATTERNS
@@ -186,7 +187,7 @@ def top_tags(s, d):
     """The two labels whose first vectors are nearest to each query."""
     e = table(s, d, "embeddings")
     tags = R.top_k(e, ["label"], [F.asc("vec_id")], 1).select("label", "embedding")
-    return R.knn(VQ._queries(e), tags, F.round(V.cosine(F.col("query"), F.col("embedding")), 6), 2, query_id="query_id", row_id="label").select("query_id", "label", "score", L(F.col("rank")).alias("rank"))
+    return B.matrix_knn(VQ._queries(e), tags, 2, row_ids=("label",)).select("query_id", "label", "score", L(F.col("rank")).alias("rank"))
 
 
 TAG_SQL = f"""WITH {VQ.Q_SQL}, t AS (SELECT label, embedding FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS n FROM embeddings) WHERE n = 1),
@@ -307,7 +308,7 @@ def document_routing(s, d):
 def product_search(s, d):
     """Nearest rows, filtered by label with fallback to all, reranked by inner product."""
     e = table(s, d, "embeddings")
-    hits = R.knn(VQ._queries(e), e, F.round(V.cosine(F.col("query"), F.col("embedding")), 6), 20, query_id="query_id", row_id="vec_id").join(e, "vec_id").join(VQ._queries(e), "query_id")
+    hits = B.matrix_knn(VQ._queries(e), e, 20).join(e, "vec_id").join(VQ._queries(e), "query_id")
     flagged = hits.withColumn("hit", (F.col("label") == F.col("query_label") + 1)).withColumn("some", F.max("hit").over(Window.partitionBy("query_id")))
     kept = flagged.where(F.col("hit") | ~F.col("some")).withColumn("rerank", F.round(V.dot(F.col("query"), F.col("embedding")), 6))
     return R.top_k(kept.select("query_id", "vec_id", "rerank"), ["query_id"], [F.desc("rerank"), F.asc("vec_id")], 5).select("query_id", "vec_id", "rerank", L(F.col("rank")).alias("rank"))

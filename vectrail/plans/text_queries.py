@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions import text as X
 from vectrail.functions import vectors as V
+from vectrail.operators import blocks as B
 from vectrail.operators import ranking as R
 from vectrail.session import table
 
@@ -61,12 +62,11 @@ SELECT l.doc_id, pos, round(coalesce(n, 0) / norm, 6) AS value FROM l CROSS JOIN
 def grounded_passages(s, d, k: int = 3):
     """For each benchmark item (every id divisible by 50) the chunks nearest to it by hash vectors, reranked by coverage."""
     items = table(s, d, "benchmark").where("item_id % 50 = 0").select("item_id", F.col("text").alias("question"))
-    q = items.select("item_id", "question", X.hash_vector(F.col("question")).alias("query")).withColumn("q_norm", V.norm(F.col("query"))).where("q_norm > 0")
+    q = items.select("item_id", X.hash_vector(F.col("question")).alias("query")).where(V.norm(F.col("query")) > 0)
     # a chunk is short, so its vector is counted in its row; nothing is shuffled before the ranking
     rows = chunks(_docs(s, d)).select("doc_id", "chunk_ix", "start", X.once(X.hash_vector(F.col("chunk"))).alias("vector"))
-    rows = rows.withColumn("norm", V.norm(F.col("vector"))).where("norm > 0")
-    near = R.against(q.select("item_id", "query", "q_norm"), rows).withColumn("cosine", F.round(V.dot(F.col("query"), F.col("vector")) / (F.col("q_norm") * F.col("norm")), 6))
-    short = R.top_k(near.select("item_id", "doc_id", "chunk_ix", "start", "cosine"), ["item_id"], [F.desc("cosine"), F.asc("doc_id"), F.asc("chunk_ix")], 20)
+    near = B.matrix_knn(q, rows.where(V.norm(F.col("vector")) > 0), 20, query_id="item_id", row_ids=("doc_id", "chunk_ix", "start"), vector="vector", name="cosine")
+    short = near.drop("rank")
     chunk = F.substr("text", (F.col("start") + 1).cast("int"), F.lit(WINDOW))
     texts = _docs(s, d).select("doc_id", "text").join(short, "doc_id").join(items, "item_id").withColumn("chunk", chunk)
     scored = texts.withColumn("score", F.round(X.coverage(F.col("question"), F.col("chunk")), 6))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import vectors as V
+from vectrail.operators import blocks as B
 from vectrail.operators import ranking as R
 from vectrail.session import table
 
@@ -25,6 +26,10 @@ def _r(x, n=6):
     return F.round(x, n)
 
 
+def _hits(found: DataFrame) -> DataFrame:
+    return found.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+
+
 Q_SQL = "q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS qv, label AS query_label FROM embeddings WHERE vec_id % 50 = 0)"
 COS = "round(list_cosine_similarity(qv, embedding::DOUBLE[]), 6)"
 DOT = "round(list_dot_product(qv, embedding::DOUBLE[]), 6)"
@@ -32,8 +37,7 @@ DOT = "round(list_dot_product(qv, embedding::DOUBLE[]), 6)"
 
 def knn_cosine(spark, d):
     e = _emb(spark, d)
-    score = _r(V.cosine(F.col("query"), F.col("embedding")))
-    return R.knn(_queries(e), e, score, 5, query_id="query_id", row_id="vec_id").select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _hits(B.matrix_knn(_queries(e), e, 5))
 
 
 def _knn_sql(expr: str, k: int, tie: str = "vec_id", first: int = -1, where: str = "", alias: str = "score") -> str:
@@ -44,20 +48,17 @@ SELECT query_id, vec_id, score AS {alias}, n + {first} AS rank FROM r WHERE n <=
 
 def knn_dot(spark, d):
     e = _emb(spark, d)
-    score = _r(V.dot(F.col("query"), F.col("embedding")))
-    return R.knn(_queries(e), e, score, 10, query_id="query_id", row_id="vec_id").select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _hits(B.matrix_knn(_queries(e), e, 10, B.dots))
 
 
 def knn_ties_last(spark, d):
     e = _emb(spark, d)
-    score = F.round(V.cosine(F.col("query"), F.col("embedding")), 1)
-    return R.knn(_queries(e), e, score, 10, query_id="query_id", row_id="vec_id", ties="desc").select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _hits(B.matrix_knn(_queries(e), e, 10, ties="desc", digits=1))
 
 
 def knn_filtered(spark, d):
     e = _emb(spark, d)
-    hits = R.knn(_queries(e), e.where(F.col("label") == 3), _r(V.cosine(F.col("query"), F.col("embedding"))), 5, query_id="query_id", row_id="vec_id")
-    return hits.select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _hits(B.matrix_knn(_queries(e), e.where(F.col("label") == 3), 5))
 
 
 def knn_threshold(spark, d):
@@ -66,17 +67,19 @@ def knn_threshold(spark, d):
     q = _queries(e)
     if e.limit(2).count() < 2:
         q = q.where(F.lit(False))
-    hits = R.against(q, e).where(F.col("vec_id") != F.col("query_id")).withColumn("score", _r(V.cosine(F.col("query"), F.col("embedding")))).where(F.col("score") > 0.3)
-    return R.top_k(hits, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _hits(B.matrix_knn(q, e, 5, others=True, above=0.3))
+
+
+def _part(rows: DataFrame, column: str, n: int) -> DataFrame:
+    return rows.withColumn(column, F.slice(column, 1, n))
 
 
 def two_stage_knn(spark, d):
     """Nearest by the first 16 dimensions, then ordered by all of them."""
     e = _emb(spark, d)
-    short = _r(V.cosine(F.slice("query", 1, 16), F.slice("embedding", 1, 16)))
-    hits = R.knn(_queries(e), e, short, 20, query_id="query_id", row_id="vec_id").select("query_id", "vec_id")
+    hits = B.matrix_knn(_part(_queries(e), "query", 16), _part(e, "embedding", 16), 20).select("query_id", "vec_id")
     full = hits.join(_queries(e), "query_id").join(e, "vec_id").withColumn("score", _r(V.cosine(F.col("query"), F.col("embedding"))))
-    return R.top_k(full, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5).select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _hits(R.top_k(full, ["query_id"], [F.desc("score"), F.asc("vec_id")], 5))
 
 
 TWO_STAGE_SQL = f"""WITH {Q_SQL}, s AS (SELECT query_id, vec_id, qv, embedding::DOUBLE[] AS v,
@@ -148,11 +151,9 @@ def label_scores(e: DataFrame) -> DataFrame:
     Each query vector's best inner product and best cosine with a label's vectors are
     maxima that tasks take before the shuffle; they are summed, and averaged.
     """
-    both = R.against(_queries(e), e)
-    best = both.groupBy("query_id", "query_label", F.col("label").alias("doc_label")).agg(
-        F.max(V.dot(F.col("query"), F.col("embedding"))).alias("dot"), F.max(V.cosine(F.col("query"), F.col("embedding"))).alias("cosine")
-    )
-    return best.groupBy("query_label", "doc_label").agg(_r(F.sum("dot")).alias("score"), _r(F.sum("cosine") / F.count("*")).alias("by_length"))
+    q = _queries(e)
+    best = B.group_best(q, e, {"dot": B.dots, "cosine": B.cosines}, "label").join(q.select("query_id", "query_label"), "query_id")
+    return best.groupBy("query_label", F.col("label").alias("doc_label")).agg(_r(F.sum("dot")).alias("score"), _r(F.sum("cosine") / F.count("*")).alias("by_length"))
 
 
 MV_SQL = f"""{Q_SQL}, p AS (SELECT query_id, query_label, label AS doc_label, max(list_dot_product(qv, embedding::DOUBLE[])) AS best, max(list_cosine_similarity(qv, embedding::DOUBLE[])) AS cosine FROM q, embeddings GROUP BY 1, 2, 3),
@@ -194,12 +195,14 @@ n AS (SELECT *, row_number() OVER (PARTITION BY query_label ORDER BY coarse DESC
 SELECT query_label, doc_label, score FROM s JOIN n USING (query_label, doc_label) WHERE n <= 4"""
 
 
+def _both(q, d):
+    return 0.6 * B.cosines(q, d) + 0.4 * B.dots(q.clip(min=0), d.clip(min=0))
+
+
 def hybrid_weighted(spark, d):
     """0.6 * cosine + 0.4 * inner product of the positive parts; a zero weight would be skipped."""
     e = _emb(spark, d)
-    sparse = V.dot(F.transform("query", lambda x: F.greatest(x, F.lit(0.0).cast("float"))), F.transform("embedding", lambda x: F.greatest(x, F.lit(0.0).cast("float"))))
-    score = _r(0.6 * V.cosine(F.col("query"), F.col("embedding")) + 0.4 * sparse)
-    return R.knn(_queries(e), e, score, 5, query_id="query_id", row_id="vec_id").select("query_id", "vec_id", "score", F.col("rank").cast("long").alias("rank"))
+    return _hits(B.matrix_knn(_queries(e), e, 5, _both))
 
 
 HYBRID_SQL = _knn_sql("round(0.6 * list_cosine_similarity(qv, embedding::DOUBLE[]) + 0.4 * list_dot_product(list_transform(qv, lambda x: greatest(x, 0)), list_transform(embedding::DOUBLE[], lambda x: greatest(x, 0))), 6)", 5)
@@ -208,8 +211,8 @@ HYBRID_SQL = _knn_sql("round(0.6 * list_cosine_similarity(qv, embedding::DOUBLE[
 def _lists(spark, d, k=10):
     e = _emb(spark, d)
     q = _queries(e)
-    a = R.knn(q, e, _r(V.cosine(F.col("query"), F.col("embedding"))), k, query_id="query_id", row_id="vec_id")
-    b = R.knn(q, e, _r(V.dot(F.slice("query", 1, 32), F.slice("embedding", 1, 32))), k, query_id="query_id", row_id="vec_id")
+    a = B.matrix_knn(q, e, k)
+    b = B.matrix_knn(_part(q, "query", 32), _part(e, "embedding", 32), k, B.dots)
     return a, b
 
 
@@ -259,10 +262,9 @@ FROM a FULL OUTER JOIN b ON a.query_id = b.query_id AND a.vec_id = b.vec_id"""
 def exemplar_retrieval(spark, d):
     """The best row of each label for each query, of the labels in a catalogue (those below 6)."""
     e = _emb(spark, d)
-    scored = R.against(_queries(e), e).withColumn("score", _r(V.cosine(F.col("query"), F.col("embedding"))))
-    catalog = e.where(F.col("label") < 6).select("label").distinct()
-    best = R.top_k(scored.select("query_id", "label", "vec_id", "score"), ["query_id", "label"], [F.desc("score"), F.asc("vec_id")], 1)
-    return best.join(catalog, "label", "left_semi").select("query_id", "label", "vec_id", "score")
+    catalog = e.where(F.col("label") < 6)
+    best = B.group_best(_queries(e), catalog, {"score": B.cosines}, "label")
+    return best.select("query_id", "label", F.col("score_at").alias("vec_id"), _r(F.col("score")).alias("score"))
 
 
 EXEMPLAR_SQL = f"""WITH {Q_SQL}, s AS (SELECT query_id, label, vec_id, {COS} AS score FROM q, embeddings),
@@ -374,8 +376,9 @@ SELECT u.label, u.pos, round(0.7 * x + 0.3 * mean, 6) AS value FROM u JOIN f USI
 def _metrics(spark, d, k=10):
     """Per query: ranked hits with relevance (same label, the query itself left out)."""
     e = _emb(spark, d)
-    pairs = R.against(_queries(e), e).where("vec_id != query_id").withColumn("score", _r(V.cosine(F.col("query"), F.col("embedding"))))
-    hits = R.top_k(pairs, ["query_id"], [F.desc("score"), F.asc("vec_id")], k, first=1)
+    q = _queries(e)
+    found = B.matrix_knn(q, e, k, others=True, first=1)
+    hits = found.join(e.select("vec_id", "label"), "vec_id").join(q.select("query_id", "query_label"), "query_id")
     relevant = e.groupBy(F.col("label").alias("query_label")).agg((F.count("*") - 1).alias("n_relevant"))
     return hits.withColumn("rel", (F.col("label") == F.col("query_label")).cast("int")).join(relevant, "query_label").where("n_relevant > 0")
 
