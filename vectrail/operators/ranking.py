@@ -38,6 +38,38 @@ def knn(queries: DataFrame, rows: DataFrame, score: Column, k: int, *, query_id:
     return top_k(scored.select(query_id, row_id, "score"), [query_id], [F.desc("score"), tie], k)
 
 
+#: Ranges that a group's distinct values are cut into.
+RANGES = 256
+
+
+def values_at(rows: DataFrame, by: str, value: str, places: dict[str, Column]) -> DataFrame:
+    """For each group its number ``n`` of values and the value at each place of their ascending order, exactly.
+
+    ``places`` are 0-based expressions over ``n``; a place outside gives null, as does
+    a group without values (``n`` 0). Values are counted first, so repeated ones are
+    one row; the counts are cut into ranges by approximate quantiles, and only the
+    range that holds a place is ordered. No group is collected.
+    """
+    held = rows.where(F.col(value).isNotNull())
+    counts = held.groupBy(by, value).agg(F.count("*").alias("__n"))
+    cuts = counts.groupBy(by).agg(F.percentile_approx(value, [i / RANGES for i in range(1, RANGES)], 10 * RANGES).alias("__cuts"), F.sum("__n").alias("n"))
+    within = F.size(F.filter("__cuts", lambda c: c < F.col(value)))
+    same = lambda a, b: F.col(f"{a}.{by}").eqNullSafe(F.col(f"{b}.{by}"))
+    ranged = counts.alias("a").join(cuts.alias("b"), same("a", "b")).select(f"a.{by}", value, "__n", within.alias("__range"))
+    upto = F.sum("__in").over(Window.partitionBy(by).orderBy("__range"))  # at most RANGES rows a group
+    ranges = ranged.groupBy(by, "__range").agg(F.sum("__n").alias("__in")).withColumn("__upto", upto)
+    at = F.explode(F.array(*(F.struct(F.lit(n).alias("name"), p.cast("long").alias("at")) for n, p in places.items())))
+    wanted = cuts.select(by, at.alias("w")).select(by, F.col("w.name").alias("__name"), F.col("w.at").alias("__at"))
+    inside = (F.col("__at") >= F.col("__upto") - F.col("__in")) & (F.col("__at") < F.col("__upto"))
+    hit = wanted.alias("a").join(ranges.alias("b"), same("a", "b") & inside).select(f"a.{by}", "__name", "__at", "__range", (F.col("__upto") - F.col("__in")).alias("__before"))
+    near = ranged.alias("a").join(hit.alias("b"), same("a", "b") & (F.col("a.__range") == F.col("b.__range"))).select(f"a.{by}", value, "__n", "__name", "__at", "__before")
+    last = F.col("__before") + F.sum("__n").over(Window.partitionBy(by, "__name").orderBy(value))
+    found = near.withColumn("__last", last).where("__last > __at").groupBy(by).agg(*(F.min(F.when(F.col("__name") == n, F.col(value))).alias(n) for n in places))
+    groups = rows.select(by).distinct()
+    out = groups.alias("a").join(cuts.alias("b"), same("a", "b"), "left").select(f"a.{by}", F.coalesce("n", F.lit(0)).alias("n"))
+    return out.alias("a").join(found.alias("b"), same("a", "b"), "left").select(f"a.{by}", "n", *places)
+
+
 def rrf(lists: list[DataFrame], by: list[str], item: str, rank: str = "rank", k: int = 60) -> DataFrame:
     """Reciprocal rank fusion of lists with ranks from 0."""
     parts = [x.select(*by, item, (1.0 / (F.col(rank) + 1 + k)).alias("part"), F.lit(i).alias("list"), rank) for i, x in enumerate(lists)]

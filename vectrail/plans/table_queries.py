@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from vectrail.functions import vectors as V
 from vectrail.operators import ranking as R
 from vectrail.operators.mapping import shared_width
-from vectrail.operators.tables import upsert
+from vectrail.operators.tables import bucket_passes, upsert
 from vectrail.session import table
 
 
@@ -104,16 +104,24 @@ def count_by_key(s, d):
 
 
 def percentiles(s, d):
-    e = _ev(s, d).groupBy("event_type").agg(*(F.round(F.percentile("value", p), 6).alias(f"p{int(p * 100)}") for p in (0.5, 0.95)))
-    return e
+    """Percentiles with the straight line between the two values at a fractional place."""
+    ps = {"p50": 0.5, "p95": 0.95}
+    place = lambda p: F.lit(p) * (F.col("n") - 1)
+    ends = {f"{n}_{side}": cut(place(p)) for n, p in ps.items() for side, cut in (("low", F.floor), ("high", F.ceil))}
+    at = R.values_at(_ev(s, d), "event_type", "value", ends)
+
+    def line(n):
+        part = place(ps[n]) - F.floor(place(ps[n]))
+        return F.round(F.col(f"{n}_low") * (1 - part) + F.col(f"{n}_high") * part, 6).alias(n)
+
+    return at.select("event_type", *(line(n) for n in ps))
 
 
 def floor_percentiles(s, d):
     """sorted[int(p / 100 * (n - 1))]; -1 under ten samples."""
-    v = F.sort_array(F.collect_list("value"))
-    e = _ev(s, d).groupBy("event_type").agg(v.alias("v"))
-    at = lambda p: F.when(F.size("v") >= 10, F.get("v", F.floor(F.lit(p) * (F.size("v") - 1)).cast("int"))).otherwise(-1.0)
-    return e.select("event_type", F.round(at(0.5), 6).alias("p50"), F.round(at(0.95), 6).alias("p95"))
+    ps = {"p50": 0.5, "p95": 0.95}
+    at = R.values_at(_ev(s, d), "event_type", "value", {n: F.floor(F.lit(p) * (F.col("n") - 1)) for n, p in ps.items()})
+    return at.select("event_type", *(F.when(F.col("n") >= 10, F.round(n, 6)).otherwise(-1.0).alias(n) for n in ps))
 
 
 def rolling_mean(s, d):
@@ -266,16 +274,8 @@ def ttl_active(s, d):
 
 def token_bucket(s, d):
     """Requests by user in order against a bucket of 3 that refills one a day."""
-    e = _ev(s, d).groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("ts", "event_id"))).alias("a"))
-    start = F.struct(F.lit(3.0).alias("left"), F.lit(None).cast("timestamp_ntz").alias("at"), F.lit(0).cast("long").alias("passed"))
-
-    def step(acc, x):
-        days = F.coalesce(F.unix_micros(x["ts"].cast("timestamp")) - F.unix_micros(acc["at"].cast("timestamp")), F.lit(0)) / 86_400_000_000.0
-        filled = F.least(F.lit(3.0), acc["left"] + days)
-        ok = filled >= 1
-        return F.struct(F.when(ok, filled - 1).otherwise(filled).alias("left"), x["ts"].alias("at"), (acc["passed"] + ok.cast("long")).alias("passed"))
-
-    return e.select("user_id", L(F.size("a")).alias("n"), F.aggregate("a", start, step, lambda a: a["passed"]).alias("passed"))
+    e = _ev(s, d).select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), "event_id")
+    return bucket_passes(e, "user_id", "at", "event_id").select("user_id", "n", "passed")
 
 
 def cost_order(s, d):
