@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 FLAGSHIP = "grounded_passages"
-from vectrail.plans import mapping_queries, more_queries, record_queries, span_queries, table_queries, text_queries, vector_queries
+from vectrail.plans import mapping_queries, more_queries, record_queries, span_queries, stream_queries, table_queries, text_queries, vector_queries
 
-MODULES: tuple = (vector_queries, text_queries, table_queries, span_queries, more_queries, record_queries, mapping_queries)
+MODULES: tuple = (vector_queries, text_queries, table_queries, span_queries, more_queries, record_queries, mapping_queries, stream_queries)
 
 
 def queries() -> dict:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from urllib.parse import urlsplit
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -47,6 +49,17 @@ def read_path(spark: SparkSession, path: str, kind: str = "parquet", schema: str
     return reader.load(path)
 
 
+def uploaded_path(uri: str, store: str) -> str:
+    """Where a file of the upload store, such as ``upload://file-1``, lies below the store's folder; it has no connection."""
+    address = urlsplit(uri)
+    if address.scheme != "upload":
+        raise ValueError(f"not in the upload store: {uri!r}")
+    name = address.netloc + address.path
+    if not name.strip("/") or ".." in name.split("/"):
+        raise ValueError(f"no file in {uri!r}")
+    return f"{store.rstrip('/')}/{name.strip('/')}"
+
+
 def document_format(path: Column) -> Column:
     """Format by the lower-cased suffix; null if unknown."""
     suffix = F.lower(F.regexp_extract(path, r"\.([^./]+)$", 1))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -74,6 +75,46 @@ def token_bucket(stream: DataFrame, key: str, at: str, capacity: float = 3.0, pe
     )
 
 
+def strip_piece(inside: bool, held: str, piece: str, opened: str = "<think>", closed: str = "</think>") -> tuple[str, bool, str]:
+    """What a piece of text shows outside of marked blocks, whether a block is open after it, and an end that may be half a mark.
+
+    A closing mark without an opening one is hidden too.
+    """
+    parts = re.split(f"({re.escape(opened)}|{re.escape(closed)})", held + piece)
+    shown = []
+    for text, mark in zip(parts[::2], [*parts[1::2], None], strict=True):
+        if mark is None:
+            starts = [m[:n] for m in (opened, closed) for n in range(1, len(m))]
+            held = max((x for x in starts if text.endswith(x)), key=len, default="")
+            text = text.removesuffix(held)
+        if not inside:
+            shown.append(text)
+        inside = inside if mark is None else mark == opened
+    return "".join(shown), inside, held
+
+
+def strip_blocks(stream: DataFrame, key: str, item: str, text: str) -> DataFrame:
+    """(key, item, shown): pieces of keyed texts in order of item, without marked blocks that may begin and end in any piece.
+
+    The state of a key is whether a block is open, and the few characters that may be half a mark.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def step(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        inside, held = state.get if state.exists else (False, "")
+        rows = pd.concat(list(batches)).sort_values(item)
+        shown = []
+        for piece in rows[text].tolist():
+            out, inside, held = strip_piece(inside, held, piece or "")
+            shown.append(out)
+        state.update((bool(inside), held))
+        yield pd.DataFrame({"key": k[0], "item": rows[item].tolist(), "shown": shown})
+
+    return stream.groupBy(key).applyInPandasWithState(
+        step, "key bigint, item bigint, shown string", "inside boolean, held string", "append", GroupStateTimeout.NoTimeout
+    )
+
+
 def drain(stream: DataFrame, mode: str) -> DataFrame:
     """All that is there through the stream, written as Parquet in the shared folder and read again.
 
