@@ -35,3 +35,24 @@ def assert_same(frame, con, sql):
     want = cursor.fetchall()
     assert sorted(frame.columns) == sorted(names)
     assert rows(frame.columns, [tuple(r) for r in got]) == rows(names, want)
+
+
+def most_rows(frame):
+    """The largest number of rows that one operator of the frame's plan gives; runs the frame."""
+    plan = frame._jdf.queryExecution().executedPlan()
+    frame._jdf.queryExecution().executedPlan().executeCollect()
+    most, open_ = 0, [plan]
+    while open_:
+        node = open_.pop()
+        metric = node.metrics().get("numOutputRows")
+        most = max(most, metric.get().value() if metric.isDefined() else 0)
+        kind = node.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            open_.append(node.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            open_.append(node.plan())
+        elif kind == "ReusedExchangeExec":
+            continue
+        children = node.children()
+        open_ += [children.apply(i) for i in range(children.size())]
+    return most

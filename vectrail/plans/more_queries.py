@@ -322,16 +322,31 @@ SELECT query_id, vec_id, rerank, k - 1 AS rank FROM r WHERE k <= 5"""
 
 
 def attribute_recommender(s, d):
-    """Parts nearest to every part divisible by 50 by TF-IDF of name words, by shared words only."""
-    p = table(s, d, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("term"))
-    n = p.select("p_partkey").distinct().count()
-    df = p.groupBy("term").agg(F.countDistinct("p_partkey").alias("df"))
-    w = p.groupBy("p_partkey", "term").agg(F.count("*").alias("tf")).join(df, "term").withColumn("w", F.col("tf") * F.log(F.lit(float(n)) / F.col("df")))
-    norm = w.groupBy("p_partkey").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
-    w = w.join(norm, "p_partkey").select("p_partkey", "term", (F.col("w") / F.col("n")).alias("w"))
-    q = w.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), "term", F.col("w").alias("qw"))
-    hits = w.join(q, "term").where("p_partkey != query_id").groupBy("query_id", "p_partkey").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
-    return R.top_k(hits, ["query_id"], [F.desc("score"), F.asc("p_partkey")], 5).select("query_id", "p_partkey", "score", L(F.col("rank")).alias("rank"))
+    """Parts nearest to every part divisible by 50 by TF-IDF of name words, by shared words only.
+
+    Parts of equal names have equal scores, so names are compared, not parts: a name's
+    first parts stand for it, one more than are shown, as a part is not its own match.
+    """
+    most = 5
+    held = table(s, d, "part").where(F.col("p_partkey").isNotNull() & F.col("p_name").isNotNull())
+    # of a part in several rows all words count
+    parts = held.groupBy("p_partkey").agg(F.array_join(F.array_sort(F.collect_list("p_name")), " ").alias("name"))
+    names = parts.groupBy("name").agg(F.count("*").alias("n_parts"))
+    n = names.agg(F.sum("n_parts").cast("double").alias("n_all"))
+    tf = names.select("name", "n_parts", F.explode(F.split("name", " ")).alias("term")).groupBy("name", "n_parts", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.sum("n_parts").alias("df")).crossJoin(F.broadcast(n))
+    w = tf.join(df, "term").select("name", "term", (F.col("tf") * F.log(F.col("n_all") / F.col("df"))).alias("w"))
+    norm = w.groupBy("name").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("n"))
+    w = w.join(norm, "name").select("name", "term", (F.col("w") / F.col("n")).alias("w"))
+    queries = parts.where("p_partkey % 50 = 0").select(F.col("p_partkey").alias("query_id"), F.col("name").alias("query"))
+    q = w.join(queries.select(F.col("query").alias("name")).distinct(), "name").select(F.col("name").alias("query"), "term", F.col("w").alias("qw"))
+    pairs = w.join(q, "term").groupBy("query", "name").agg(F.round(F.sum(F.col("w") * F.col("qw")), 6).alias("score"))
+    first = R.top_k(parts, ["name"], [F.asc("p_partkey")], most + 1, "at").drop("at")
+    hits = R.top_k(pairs.join(first, "name").select("query", "p_partkey", "score"), ["query"], [F.desc("score"), F.asc("p_partkey")], most + 1)
+    lists = hits.groupBy("query").agg(F.array_sort(F.collect_list(F.struct("rank", "p_partkey", "score"))).alias("hits"))
+    others = F.slice(F.filter("hits", lambda x: x["p_partkey"] != F.col("query_id")), 1, most)
+    found = queries.join(lists, "query").select("query_id", F.posexplode(others).alias("rank", "hit"))
+    return found.select("query_id", "hit.p_partkey", "hit.score", L(F.col("rank")).alias("rank"))
 
 
 RECOMMEND_SQL = """WITH p AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS term FROM part), d AS (SELECT term, count(DISTINCT p_partkey) AS df FROM p GROUP BY 1),
