@@ -2,9 +2,11 @@
 
 import itertools
 import math
+import random
 from collections import Counter, defaultdict
 
 from tests.compare import most_rows
+from vectrail.operators import spans
 from vectrail.plans import registry
 
 
@@ -28,3 +30,27 @@ def test_attribute_recommender_compares_names_not_parts(spark, tmp_path):
         want += [(q, k, -s, i) for i, (s, k) in enumerate(scored[:5])]
     assert sorted(tuple(r) for r in frame.collect()) == sorted(want)
     assert most_rows(registry.queries()["attribute_recommender"](spark, str(tmp_path))) < 3 * len(parts)
+
+
+def test_greedy_interval_match_reads_many_keys_a_call(spark):
+    """Against brute force over repeated ids, and without a Python call for each key."""
+    rng = random.Random(5)
+    side = lambda n: [(rng.randrange(40), f"k{rng.randrange(2)}", rng.randrange(6), float(a := rng.randrange(9)), a + float(rng.randrange(1, 6))) for _ in range(n)]
+    pred, gold = side(400), side(400)
+    schema = "doc long, part string, id long, start double, end double"
+    found = spans.greedy_interval_match(spark.createDataFrame(pred, schema).repartition(3), spark.createDataFrame(gold, schema), ["doc", "part"])
+    pairs = defaultdict(list)
+    for (*k, p, ps, pe), (*h, g, gs, ge) in itertools.product(pred, gold):
+        if k == h and min(pe, ge) > max(ps, gs):
+            pairs[tuple(k)].append((p, ps, pe, g, gs, ge, min(pe, ge) - max(ps, gs)))
+    want = []
+    for key, rows in pairs.items():
+        first = {p: min(r[1] for r in rows if r[0] == p) for p in {r[0] for r in rows}}
+        claimed, used = set(), set()
+        for r in sorted(rows, key=lambda r: (first[r[0]], r[0], -r[6], r[3], r)):
+            if r[0] not in claimed and r[3] not in used:
+                claimed.add(r[0])
+                used.add(r[3])
+                want.append((*key, r[0], r[3], r[6]))
+    assert sorted(tuple(r) for r in found.select("doc", "part", "pred_id", "gold_id", "overlap").collect()) == sorted(want)
+    assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()

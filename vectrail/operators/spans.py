@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.functions import text as X
@@ -100,30 +100,39 @@ def pack_clauses(text: Column, target: int = 900) -> Column:
     return F.flatten(F.transform(packed, cut))
 
 
-def greedy_interval_match(pred: DataFrame, gold: DataFrame, keys: list[str]) -> DataFrame:
+def greedy_interval_match(pred: DataFrame, gold: DataFrame, keys: list[str], parts: int | None = None) -> DataFrame:
     """One-to-one matches: predictions in order of start claim the unmatched gold span that they overlap most.
 
     Both have ``keys``, id, start and end. Only pairs of equal keys that overlap are
-    made; the claims of one key are made in one task.
+    made. They are dealt by key to partitions and sorted there (with spills); a task
+    reads them in that order, many keys a batch, and keeps what one key has claimed.
+    ``parts`` is the number of partitions, else Spark's own.
     """
+    deal = [*keys] if parts is None else [parts, *keys]
     p = pred.select(*keys, F.col("id").alias("pred_id"), F.col("start").alias("ps"), F.col("end").alias("pe"))
     g = gold.select(*keys, F.col("id").alias("gold_id"), F.col("start").alias("gs"), F.col("end").alias("ge"))
+    if parts is not None:
+        p, g = p.repartition(*deal), g.repartition(*deal)  # so the pairs are where they are read, and dealt once
     pairs = p.join(g, keys).withColumn("overlap", F.least("pe", "ge") - F.greatest("ps", "gs")).where("overlap > 0")
-    kinds = dict(pairs.dtypes)
-
-    def claim(rows):
-        pred, gold = rows["pred_id"].tolist(), rows["gold_id"].tolist()
-        start, overlap = rows["ps"].tolist(), rows["overlap"].tolist()
-        first: dict = {}
-        for k, at in zip(pred, start, strict=True):
-            first[k] = min(at, first.get(k, at))
-        claimed, used, kept = set(), set(), []
-        for i in sorted(range(len(pred)), key=lambda i: (first[pred[i]], pred[i], -overlap[i], gold[i])):
-            if pred[i] not in claimed and gold[i] not in used:
-                claimed.add(pred[i])
-                used.add(gold[i])
-                kept.append(i)
-        return rows.iloc[kept]
-
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in pairs.columns)
-    return pairs.groupBy(*keys).applyInPandas(claim, schema)
+    schema = pairs.schema
+    # an id's first start; the order of equal ones is stated to the last column
+    placed = pairs.withColumn("__first", F.min("ps").over(Window.partitionBy(*keys, "pred_id")))
+    order = [*keys, "__first", "pred_id", F.desc("overlap"), "gold_id", "ps", "pe", "gs", "ge"]
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, claimed, used = None, set(), set()
+        for batch in batches:
+            columns = [batch.column(c).to_pylist() for c in (*keys, "pred_id", "gold_id")]
+            kept = []
+            for i, (*key, one, other) in enumerate(zip(*columns, strict=True)):
+                if key != now:
+                    now, claimed, used = key, set(), set()
+                if one not in claimed and other not in used:
+                    claimed.add(one)
+                    used.add(other)
+                    kept.append(i)
+            yield batch.select(schema.names).take(pa.array(kept, pa.int64()))
+
+    return placed.repartition(*deal).sortWithinPartitions(*order).mapInArrow(run, schema)

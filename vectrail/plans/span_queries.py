@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from vectrail.functions.records import json_scalars
 from vectrail.operators import backends, spans
-from vectrail.session import table
+from vectrail.session import parts_for, table
 from vectrail.streaming import streams
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "number": r"[0-9]{6,}"}
@@ -38,7 +38,7 @@ def interval_matches(s, d):
     li = table(s, d, "lineitem").select("l_orderkey", F.col("l_linenumber").cast("long").alias("id"), F.col("l_quantity").alias("start"))
     pred = li.withColumn("end", F.col("start") + 5)
     gold = li.withColumn("id", F.col("id") + 100).withColumn("start", F.col("start") + 2).withColumn("end", F.col("start") + 6)
-    return spans.greedy_interval_match(pred, gold, ["l_orderkey"]).select("l_orderkey", "pred_id", "gold_id", "overlap")
+    return spans.greedy_interval_match(pred, gold, ["l_orderkey"], parts_for(li)).select("l_orderkey", "pred_id", "gold_id", "overlap")
 
 
 def encode_outputs(s, d):
