@@ -5,7 +5,10 @@ import math
 import random
 from collections import Counter, defaultdict
 
-from tests.compare import most_rows
+import duckdb
+
+from tests.compare import assert_same, most_rows
+from vectrail import session
 from vectrail.operators import spans
 from vectrail.plans import registry
 
@@ -54,3 +57,15 @@ def test_greedy_interval_match_reads_many_keys_a_call(spark):
                 want.append((*key, r[0], r[3], r[6]))
     assert sorted(tuple(r) for r in found.select("doc", "part", "pred_id", "gold_id", "overlap").collect()) == sorted(want)
     assert "InPandas" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_token_span_means_deals_tasks_by_rows(spark, tmp_path, monkeypatch):
+    """A task's lines stay bounded as the table grows; adaptive execution does not join them again."""
+    monkeypatch.setattr(session, "TASK_ROWS", 500)
+    lines = spark.range(9000).selectExpr("id div 4 AS l_orderkey", "cast(id % 4 + 1 AS int) AS l_linenumber", "cast(id AS double) AS l_extendedprice", "cast(id % 50 AS double) AS l_quantity", "substr('ANR', cast(id * id % 3 + 1 AS int), 1) AS l_returnflag")
+    lines.write.parquet(f"{tmp_path}/lineitem.parquet")
+    frame = registry.queries()["token_span_means"](spark, str(tmp_path))
+    assert frame.rdd.getNumPartitions() >= 18
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert_same(frame, con, registry.oracle_sql()["token_span_means"])

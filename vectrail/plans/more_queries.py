@@ -12,7 +12,7 @@ from vectrail.operators import ranking as R
 from vectrail.plans import vector_queries as VQ
 from vectrail.plans.span_queries import PATTERNS
 from vectrail.plans.text_queries import _sql_plain
-from vectrail.session import table
+from vectrail.session import parts_for, table
 
 
 def L(c):
@@ -171,9 +171,14 @@ def charged_calls(s, d):
 
 
 def token_span_means(s, d):
-    """Neighbouring tokens of one label as spans with their mean score."""
+    """Neighbouring tokens of one label as spans with their mean score.
+
+    Orders are dealt to as many tasks as the number of lines asks for: each sorts and
+    groups a bounded number of them, however large the table.
+    """
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_extendedprice")
-    li = table(s, d, "lineitem").withColumn("new", F.coalesce((F.lag("l_returnflag").over(w) != F.col("l_returnflag")) | (F.col("l_linenumber") > F.lag("l_linenumber").over(w) + 1), F.lit(True)).cast("int"))
+    li = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice", "l_returnflag", "l_quantity")
+    li = li.repartition(parts_for(li), "l_orderkey").withColumn("new", F.coalesce((F.lag("l_returnflag").over(w) != F.col("l_returnflag")) | (F.col("l_linenumber") > F.lag("l_linenumber").over(w) + 1), F.lit(True)).cast("int"))
     g = li.withColumn("island", F.sum("new").over(w)).groupBy("l_orderkey", "island", F.col("l_returnflag").alias("label"))
     return g.agg(L(F.min("l_linenumber")).alias("start"), L(F.max("l_linenumber")).alias("stop"), F.round(F.avg("l_quantity"), 6).alias("score")).drop("island")
 
