@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 
 import duckdb
+import pytest
 
 from tests.compare import assert_same, most_rows
 from vectrail import session
@@ -69,3 +70,13 @@ def test_token_span_means_deals_tasks_by_rows(spark, tmp_path, monkeypatch):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW lineitem AS SELECT * FROM '{tmp_path}/lineitem.parquet/*.parquet'")
     assert_same(frame, con, registry.oracle_sql()["token_span_means"])
+
+
+@pytest.mark.parametrize("name", ["stream_strip_blocks", "stream_windowed_counts", "stream_sequence_gaps", "stream_token_bucket"])
+def test_streams_of_folders_of_files(spark, sf_dir, tmp_path, name):
+    """Tables that are folders of several files are streamed whole."""
+    con = duckdb.connect()
+    for t in ("conversations", "events"):
+        spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert_same(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name])

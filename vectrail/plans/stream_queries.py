@@ -59,7 +59,7 @@ AROUND = (("", "<th"), ("ink>", ""), ("", "</thin"), ("k>", "<"))
 
 def stream_strip_blocks(s, d):
     """Conversations as pieces with marks that begin in one turn and end in another: what is shown of each conversation."""
-    stream = s.readStream.schema("conv_id bigint, turn bigint, role string, text string").option("pathGlobFilter", "conversations.parquet").parquet(d)
+    stream = streams.table_stream(s, d, "conversations", "conv_id bigint, turn bigint, role string, text string")
     pick = lambda i: F.get(F.array(*(F.lit(x[i]) for x in AROUND)), F.pmod("turn", F.lit(len(AROUND))).cast("int"))
     pieces = stream.withColumn("text", F.concat(pick(0), F.coalesce("text", F.lit("")), pick(1)))
     shown = streams.drain(streams.strip_blocks(pieces, "conv_id", "turn", "text"), "append")

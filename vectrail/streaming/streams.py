@@ -14,9 +14,17 @@ from vectrail.session import stored_path
 EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string"
 
 
+def table_stream(spark: SparkSession, sf_dir: str, name: str, schema: str) -> DataFrame:
+    """One of the input tables, a file or a folder of files, as a stream.
+
+    A streamed path must be a folder unless it is a pattern, so the table's is one.
+    """
+    return spark.readStream.schema(schema).parquet(f"{sf_dir}/{name}.parque[t]")
+
+
 def events_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The events table as a stream of files, with a zoned timestamp."""
-    stream = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = table_stream(spark, sf_dir, "events", EVENTS)
     return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
