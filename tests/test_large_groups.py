@@ -10,7 +10,7 @@ import pytest
 
 from tests.compare import assert_same, most_rows
 from vectrail import session
-from vectrail.operators import spans
+from vectrail.operators import blocks, spans
 from vectrail.plans import registry
 
 
@@ -80,3 +80,26 @@ def test_streams_of_folders_of_files(spark, sf_dir, tmp_path, name):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").repartition(3).write.parquet(f"{tmp_path}/{t}.parquet")
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
     assert_same(registry.queries()[name](spark, str(tmp_path)), con, registry.oracle_sql()[name])
+
+
+def test_block_pairs_meet_few_values_at_once(spark, monkeypatch):
+    """What is worked out at once is bounded, however many queries a block has, and the neighbours are the same."""
+    rows = spark.range(0, 60, 1, 1).selectExpr("id AS vec_id", "array(cast(id % 7 AS double), cast(id % 5 AS double), 1D) AS embedding")
+    queries = rows.selectExpr("vec_id AS query_id", "embedding AS query")
+    found = lambda measure: sorted(map(tuple, blocks.matrix_knn(queries, rows, 4, measure).collect()))
+    whole = found(blocks.dots)
+    monkeypatch.setattr(blocks, "TILE", 120, raising=False)
+
+    def few(q, d):
+        if len(q) * len(d) > 120:
+            raise ValueError("too many values at once")
+        return q @ d.T
+
+    assert found(few) == whole
+
+
+def test_ablation_searches_each_list_once(spark, sf_dir, monkeypatch):
+    calls, search = [], blocks.matrix_knn
+    monkeypatch.setattr(blocks, "matrix_knn", lambda *a, **b: calls.append(1) or search(*a, **b))
+    assert registry.queries()["retrieval_ablation"](spark, sf_dir).count() == 4
+    assert len(calls) == 2
