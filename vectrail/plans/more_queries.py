@@ -12,7 +12,7 @@ from vectrail.operators import ranking as R
 from vectrail.plans import vector_queries as VQ
 from vectrail.plans.span_queries import PATTERNS
 from vectrail.plans.text_queries import _sql_plain
-from vectrail.session import parts_for, table
+from vectrail.session import checkpointed, parts_for, table
 
 
 def L(c):
@@ -371,9 +371,8 @@ def retrieval_ablation(s, d):
     """Recall of the relevant label in the first ten, of four retrieval forms."""
     e = table(s, d, "embeddings").select("vec_id", "label")
     q = VQ._queries(table(s, d, "embeddings")).select("query_id", "query_label")
-    a, b = VQ._lists(s, d)
-    fused = VQ.rrf_fuse(s, d)
-    pool = VQ.hybrid_pool(s, d)
+    a, b = (checkpointed(x.select("query_id", "vec_id", "rank")) for x in VQ._lists(s, d))  # searched once for all four
+    fused, pool = VQ.fused((a, b)), VQ.pooled((a, b))
     parts = None
     for name, x in (("vector", a), ("prefix", b), ("rrf", fused), ("pool", pool)):
         one = x.select("query_id", "vec_id", F.lit(name).alias("form"))

@@ -222,7 +222,12 @@ b AS (SELECT query_id, vec_id, n - 1 AS rank FROM (SELECT *, row_number() OVER (
 
 
 def rrf_fuse(spark, d):
-    fused = R.rrf(list(_lists(spark, d)), ["query_id"], "vec_id").withColumn("fused", F.round("fused", 9))
+    return fused(_lists(spark, d))
+
+
+def fused(lists) -> DataFrame:
+    """The first ten of both lists by reciprocal ranks."""
+    fused = R.rrf(list(lists), ["query_id"], "vec_id").withColumn("fused", F.round("fused", 9))
     return R.top_k(fused, ["query_id"], [F.desc("fused"), F.asc("first_seen")], 10).select("query_id", "vec_id", "fused", F.col("rank").cast("long").alias("rank"))
 
 
@@ -234,7 +239,12 @@ SELECT query_id, vec_id, fused, n - 1 AS rank FROM r WHERE n <= 10"""
 
 
 def hybrid_pool(spark, d):
-    return R.ordered_union(list(_lists(spark, d)), ["query_id"], "vec_id").select("query_id", "vec_id", F.col("position").cast("long").alias("position"))
+    return pooled(_lists(spark, d))
+
+
+def pooled(lists) -> DataFrame:
+    """Both lists joined in order, first occurrences kept."""
+    return R.ordered_union(list(lists), ["query_id"], "vec_id").select("query_id", "vec_id", F.col("position").cast("long").alias("position"))
 
 
 POOL_SQL = f"""WITH {LISTS_SQL},
